@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import mixing, packing, pii, storage
+from waymark.llm import dartminhash, mixing, packing, pii, storage
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies."""
+    return dartminhash.keep_one(docs)
 
 
 def remove_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +27,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("pii", remove_private), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("near-dedup", drop_near_copies), ("pii", remove_private), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Tokens and signatures can't be expressed in SQL; the stages are tested against plain Python.
 ORACLE_SQL = None
