@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import dartminhash, mixing, packing, pii, storage
+from waymark.llm import dartminhash, mixing, packing, pii, quality, storage
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from labels, does not reject."""
+    return quality.keep_good(docs, storage.read(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("near-dedup", drop_near_copies), ("pii", remove_private), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("quality", keep_good),
+    ("near-dedup", drop_near_copies),
+    ("pii", remove_private),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Tokens and signatures can't be expressed in SQL; the stages are tested against plain Python.
 ORACLE_SQL = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import dartminhash, mixing, packing, pii
+from waymark.llm import dartminhash, mixing, packing, pii, quality, toxicity
 
-QUERIES = {f.__name__: f for f in (mixing.op1_mix_sources, dartminhash.op4_near_duplicates, pii.op8_pii, packing.op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (mixing.op1_mix_sources, quality.op2_quality, dartminhash.op4_near_duplicates, toxicity.op6_toxicity, pii.op8_pii, packing.op10_best_fit_packing)}
 ORACLES = {"op1_mix_sources": mixing.ORACLE}
