@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from waymark.llm import dartminhash, mixing, packing, pii, quality, toxicity
+from waymark.llm import chunks, covertree, dartminhash, mixing, packing, pii, quality, secrets, suffixes, toxicity
 
-QUERIES = {f.__name__: f for f in (mixing.op1_mix_sources, quality.op2_quality, dartminhash.op4_near_duplicates, toxicity.op6_toxicity, pii.op8_pii, packing.op10_best_fit_packing)}
-ORACLES = {"op1_mix_sources": mixing.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        mixing.op1_mix_sources,
+        quality.op2_quality,
+        suffixes.op3_repeated_strings,
+        dartminhash.op4_near_duplicates,
+        secrets.op5_secrets,
+        toxicity.op6_toxicity,
+        covertree.op7_top_k,
+        pii.op8_pii,
+        chunks.op9_fingerprints,
+        packing.op10_best_fit_packing,
+    )
+}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op7_top_k": covertree.ORACLE}
