@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +24,7 @@ from waymark.llm import storage
 from waymark.llm.quality import remainder, sample
 
 #: At most so many labelled texts are learned from: those with the least hashes of doc_id.
-MOST_LABELLED = 12000
+MOST_LABELLED = 4000
 MOST_TERMS = 2000
 PREFIX_LENGTHS = range(3, 9)
 #: Terms of at least so many letters are found at edit distance 1; word beginnings and shorter terms must be exact.
@@ -36,6 +38,8 @@ EDGE = ".,;:!?…*%&$#|\"'`´()[]{}<>«»“”„‘’-_~=+/\\"
 QUOTES = "\"“”„«»"
 REPORTING = frozenset("said says saying wrote writes called calls quote quoted quoting means word term dijo dice escribió palabra sagte sagt schrieb wort dit disait écrit mot".split())
 PERSONS = frozenset("you your you're youre u du dich dir ihr tú tu te usted vous toi ton".split())
+#: Words that a worker remembers before it starts afresh; a matter of speed and memory only.
+CACHED_WORDS = 250_000
 #: Factors of a hit's log-odds by context: plain, quoted or reported, aimed at a person.
 CONTEXT = {"plain": 1.0, "quoted": 0.35, "aimed": 1.3}
 
@@ -92,21 +96,28 @@ class Lexicon:
 
     def __post_init__(self):
         self.trie: dict = {}
-        self.starts: set[str] = set()
-        self.stops: set[str] = set()
-        for (text, whole), _ in self.terms.items():
+        # One edit leaves the first or the last half of a term as it is: only words with such a half, and with nearly the
+        # term's length, can be near it.
+        self.halves: dict[tuple[bool, str], set[int]] = {}
+        for text, whole in self.terms:
             if whole:
                 node = self.trie
                 for c in text:
                     node = node.setdefault(c, {})
                 node[""] = text
                 if len(text) >= FUZZY_FROM:
-                    # One edit leaves the first or the last half of a term as it is.
-                    self.starts.add(text[:2])
-                    self.stops.add(text[-2:])
+                    n, h = len(text), len(text) // 2
+                    for key in ((True, text[:h]), (False, text[h:])):
+                        self.halves.setdefault(key, set()).update((n - 1, n, n + 1))
+        self.half_sizes = sorted({(first, len(part)) for first, part in self.halves})
         self.prefixes = {t for t, whole in self.terms if not whole}
-        self.most_letters = max((len(t) for t, w in self.terms if w), default=0) + 1
         self.cache: dict[str, tuple | None] = {}
+        self.met: set[str] = set()
+        self.hot: dict[str, tuple] = {}
+        # What every exact or near word begins or ends with: most words have neither and need no lookup.
+        self.first_two = {t[:2] for t, whole in self.terms if whole}
+        self.last_three = {t[-3:] for t, whole in self.terms if whole and len(t) >= FUZZY_FROM}
+        self.first_three = {t[:3] for t in self.prefixes}
 
     def near(self, word: str) -> list[tuple[str, int]]:
         """(term, distance) of the whole-word terms within the distance allowed: trie and automaton, walked together."""
@@ -127,14 +138,14 @@ class Lexicon:
         """(term, whole word?, distance) of the likeliest match, or None."""
         if word in self.cache:
             return self.cache[word]
-        if len(self.cache) > 200_000:
+        if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         found = None
         if (word, True) in self.terms:
             found = (word, True, 0)
         else:
-            hits = [(self.terms[p, False], p, False, 0) for k in PREFIX_LENGTHS if (p := word[:k]) in self.prefixes and len(word) >= k]
-            if not hits and FUZZY_FROM - 1 <= len(word) <= self.most_letters and (word[:2] in self.starts or word[-2:] in self.stops):
+            hits = [(self.terms[p, False], p, False, 0) for k in PREFIX_LENGTHS if len(word) >= k and (p := word[:k]) in self.prefixes] if word[:3] in self.first_three else []
+            if not hits and any(len(word) in self.halves.get((first, word[:k] if first else word[-k:]), ()) for first, k in self.half_sizes):
                 hits = [(self.terms[t, True], t, True, d) for t, d in self.near(word)]
             if hits:
                 found = max(hits)[1:]
@@ -148,11 +159,17 @@ class Lexicon:
     def score(self, text: str) -> tuple[float, int]:
         """Probability that a text is toxic, and the number of hits."""
         tokens = text.lower().split()
-        hot = {}
-        for t in set(tokens):
-            w = t.strip(EDGE)
-            if w and (h := self.lookup(w)):
-                hot[t] = h
+        each = set(tokens)
+        new = each - self.met
+        if new:
+            for t in new:
+                w = t.strip(EDGE)
+                if (w[:2] in self.first_two or w[-3:] in self.last_three or w[:3] in self.first_three) and (h := self.lookup(w)):
+                    self.hot[t] = h
+            if len(self.met) > CACHED_WORDS:
+                self.met.clear()
+            self.met |= new
+        hot = {t: self.hot[t] for t in each & self.hot.keys()}
         calm = 1 / (1 + math.exp(-self.bias))
         if not hot:
             return calm, 0
@@ -191,15 +208,16 @@ def learn(docs: DataFrame, labels: DataFrame, which: Column, most: int = MOST_LA
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[str, bool, int]] = []
+            t, c = Counter(), Counter()
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 each = {w for w in words_of(text or "") if len(w) > 2 and not re.search(r"\d", w)}
-                out += [(w, True, y) for w in each if len(w) <= 24]
-                out += [(p, False, y) for p in {w[:k] for w in each for k in PREFIX_LENGTHS if len(w) > k}]
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int32())], ["term", "whole", "y"])
+                n = t if y else c
+                n.update((w, True) for w in each if len(w) <= 24)
+                n.update({(w[:k], False) for w in each for k in PREFIX_LENGTHS if len(w) > k})
+            keys = list(t.keys() | c.keys())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.bool_()), pa.array([t[k] for k in keys], pa.int64()), pa.array([c[k] for k in keys], pa.int64())], ["term", "whole", "t", "c"])
 
-    per = rows.mapInArrow(terms, "term string, whole boolean, y int").groupBy("term", "whole").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    per = rows.mapInArrow(terms, "term string, whole boolean, t long, c long").groupBy("term", "whole").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # A term marks toxic texts if it is RATIO times as frequent in them, and chance would hardly have it so.
     n, share, base = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c")), max(toxic, 1) / max(len(ids), 1)
     other = F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base + 1e-9))).otherwise(0.0)
@@ -255,15 +273,26 @@ def choose(found: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> t
     return kept, bias
 
 
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def lexicon_of(name: str, parts: tuple) -> Lexicon:
+    """The worker's one lexicon of this name, with the words that it has met."""
+    if name not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[name] = Lexicon(*parts)
+    return _LEXICONS[name]
+
+
 def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns named, then score and hits; a null text is an empty one."""
     storage.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.terms, lexicon.bias, lexicon.fuzzy_odds))
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    at = len(keep)
+    at, name = len(keep), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(*shared.value)
+        lex = lexicon_of(name, shared.value)
         for b in batches:
             s = [lex.score(x.as_py() or "") for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in s], pa.float64()), pa.array([n for _, n in s], pa.int64())], [*keep, "__score", "__hits"])
