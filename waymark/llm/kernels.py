@@ -107,9 +107,9 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple
     out = np.zeros(len(h), U64)
     for k in range(size):
         shifted = np.zeros(len(h), U64)
-        shifted[: len(h) - k] = h[k:]
+        shifted[: max(0, len(h) - k)] = h[k:]
         last = np.full(len(rows), -1)
-        last[: len(rows) - k] = rows[k:]
+        last[: max(0, len(rows) - k)] = rows[k:]
         out = np.where(last == rows, mix(out * BASE + shifted), out)
     count = row_counts(rows, n)
     first = np.concatenate([[0], np.cumsum(count)])[:-1]

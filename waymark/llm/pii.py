@@ -86,8 +86,8 @@ def _confirmed(text: Column, order: int, kind: str) -> Column:
     return F.transform(F.filter(F.col(f"__{kind}"), lambda s: _valid(kind, s["match"])), scored)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs with one more column, pii: array<struct<start, kind_order, kind, end, match, score>> by start, then kind.
+def find(docs: DataFrame, to: str = "pii") -> DataFrame:
+    """docs with one more column, named by `to`: array<struct<start, kind_order, kind, end, match, score>> by start, then kind.
 
     Starts and ends are code points of the whole text, ends exclusive. A null text has no spans.
     """
@@ -95,7 +95,7 @@ def find(docs: DataFrame) -> DataFrame:
     for kind, (needs, pattern, _) in KINDS.items():
         out = out.withColumn(f"__{kind}", located(F.col("__text"), needs, pattern))
     spans = [_confirmed(F.col("__text"), order, kind) for order, kind in enumerate(KINDS)]
-    return out.withColumn("pii", F.array_sort(F.concat(*spans))).drop("__text", *[f"__{k}" for k in KINDS])
+    return out.withColumn(to, F.array_sort(F.concat(*spans))).drop("__text", *[f"__{k}" for k in KINDS])
 
 
 def joined(spans: Column) -> Column:
@@ -124,16 +124,16 @@ def redact(docs: DataFrame) -> DataFrame:
     Rows without spans stay as they are, null texts too; columns and their order stay.
     """
     names = docs.columns
-    found = find(docs)
+    found = find(docs, "__pii")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out")),
     ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-    clean = F.aggregate("pii", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("pii") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate("__pii", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = found.withColumn("text", F.when(F.size("__pii") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names)
 
 

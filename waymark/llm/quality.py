@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LA
     spark = docs.sparkSession
     storage.small_batches(spark)
     known = spark.createDataFrame(sample(labels, "quality", learn, most), "__id long, label int")
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("label", "text")
     got = counted(rows).collect()  # bounded: `most` ids, a few kB each
     got.sort(key=lambda r: (r.label, r.counts))
     counts = np.array([np.frombuffer(r.counts, np.float32) for r in got]).reshape(-1, TERMS)

@@ -204,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, which: Column, most: int = MOST_LA
     toxic = sum(y for _, y in ids)
     clean = len(ids) - toxic
     known = spark.createDataFrame(ids, "__id long, y int")
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("y", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
