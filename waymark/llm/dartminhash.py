@@ -31,6 +31,8 @@ BANDS, BAND_ROWS = 42, 6
 K = BANDS * BAND_ROWS
 _CELL, _NTH, _COORD, _WIDTH = (U64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F))
 ARROW_ROWS = 256
+#: Size of the bitmap that stands for a set of nodes.
+MARK_BITS = 24
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -124,21 +126,45 @@ def _banded(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("node"), "text").mapInArrow(work, "doc_id long, node binary, keys array<long>")
 
 
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of 2**MARK_BITS places with those of the nodes set; its size does not depend on their number."""
+    at = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << MARK_BITS) - 1) + 1
+    rows = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(1 << MARK_BITS, bool)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        out[(r.k - 1) * len(bits) : r.k * len(bits)] = bits  # places from 1 on fill buckets from 1 on
+    return out
+
+
 def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles: sorted distinct 64-bit hashes, for the nodes asked for."""
+    """node, shingles: sorted distinct 64-bit hashes, for the nodes asked for and a few others.
+
+    A bitmap of fixed size tells the texts that may be wanted, so no text is shuffled.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(_marks(nodes)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.unpackbits(marks.value).view(bool), set()
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
+            node, new = batch.column(0).to_pylist(), []
+            for i, x in enumerate(node):
+                if bits[int.from_bytes(x[:4], "big") & ((1 << MARK_BITS) - 1)] and x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            take = pa.array(new, pa.int64())
+            raw, offsets = text_buffer(batch.column(1).take(take))
             out = []
             for i, j in doc_blocks(offsets):
                 ids, rows = shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS)
                 cut = np.searchsorted(rows, np.arange(j - i + 1))
                 out += [np.unique(ids[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(out, pa.binary())], ["node", "shingles"])
 
-    wanted = docs.select(digest(F.col("text")).alias("node"), "text").join(nodes, "node", "left_semi")
-    return wanted.mapInArrow(work, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    made = docs.select(digest(F.col("text")).alias("node"), "text").mapInArrow(work, "node binary, shingles binary")
+    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -205,10 +231,10 @@ def _links(docs: DataFrame, banded: DataFrame, threshold: float) -> DataFrame |
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node, class_id: one row per document; documents of one class_id are copies or near copies of each other,
+    """doc_id, node, class_id, part: one row per document; documents of one class_id are copies or near copies of each other,
     linked by a chain of texts with a similarity of the threshold or more.
 
-    class_id is the least doc_id of the class (null if all are null). Equal texts share a class, null and empty texts as
+    class_id is the least doc_id of the class (null if all are null), part its least node. Equal texts share a class, null and empty texts as
     well, with no words or many; a text without words has no near copies. Ids may repeat. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -217,19 +243,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = banded.groupBy("node").agg(F.min("doc_id").alias("least"))
     links = _links(docs, banded, threshold)
     if links is None:
-        named = nodes.select("node", F.col("least").alias("class_id"))
+        named = nodes.select("node", F.col("least").alias("class_id"), F.col("node").alias("part"))
     else:
         parts = storage.staged(components(links), "parts")
         placed = nodes.join(parts, "node", "left").select("node", "least", F.coalesce("part", "node").alias("part"))
         low = placed.groupBy("part").agg(F.min("least").alias("class_id"))
-        named = placed.join(low, "part").select("node", "class_id")
-    return banded.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id")
+        named = placed.join(low, "part").select("node", "class_id", "part")
+    return banded.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "part")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: the least doc_id's (of several texts with that id, the least digest's)."""
     found = storage.staged(classes(docs, threshold), "classes")
-    kept = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("only")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k"))
+    kept = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__node"))
     names = docs.columns
     rows = docs.withColumn("__d", digest(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__node")))
