@@ -135,15 +135,15 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     storage.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    at = len(keep)
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at, wide = rows.columns.index("text"), len(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             raw, offsets = text_buffer(b.column(at))
             s = [m.scores(term_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in doc_blocks(offsets)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(np.concatenate([*s, np.zeros(0)]))], [*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array(np.concatenate([*s, np.zeros(0)]))], [*keep, "__score"])
 
     schema = rows.select(*keep).schema.add("__score", "double")
     return rows.mapInArrow(work, schema)

@@ -288,14 +288,14 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns named, then score and hits; a null text is an empty one."""
     storage.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.terms, lexicon.bias, lexicon.fuzzy_odds))
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    at, name = len(keep), uuid.uuid4().hex
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at, wide, name = rows.columns.index("text"), len(keep), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon_of(name, shared.value)
         for b in batches:
             s = [lex.score(x.as_py() or "") for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x for x, _ in s], pa.float64()), pa.array([n for _, n in s], pa.int64())], [*keep, "__score", "__hits"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array([x for x, _ in s], pa.float64()), pa.array([n for _, n in s], pa.int64())], [*keep, "__score", "__hits"])
 
     return rows.mapInArrow(work, rows.select(*keep).schema.add("__score", "double").add("__hits", "long"))
 
