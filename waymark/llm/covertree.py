@@ -137,10 +137,12 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> DataFra
     asked = _blocks(whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(few), QUERY_BLOCK, "query-blocks")
     data = data.select(F.struct("run", "nth").alias("at"), F.col("ids").alias("d_ids"), F.col("x").alias("d_x"), F.col("wide").alias("d_wide"))
     meet = asked.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("wide").alias("q_wide"))
-    # A list of block numbers, one entry for thousands of vectors, deals each query block to every data block.
-    places = [(r.run, r.nth) for r in data.select("at.run", "at.nth").collect()]
-    listed = F.array(*[F.struct(F.lit(a).alias("run"), F.lit(b).alias("nth")) for a, b in places]).cast("array<struct<run:bigint,nth:bigint>>")
-    pairs = meet.withColumn("at", F.explode(listed)).repartition(F.col("at")).join(data, "at").select("q_ids", "q_x", "q_wide", "d_ids", "d_x", "d_wide")
+    # One entry per task that made blocks deals each query block to every data block.
+    made = [(r.run, r.n) for r in data.groupBy(F.col("at.run").alias("run")).agg(F.max("at.nth").alias("n")).collect()]
+    listed = F.array(*[F.struct(F.lit(a).alias("run"), F.lit(b).alias("n")) for a, b in made]).cast("array<struct<run:bigint,n:bigint>>")
+    dealt = meet.withColumn("of", F.explode(listed)).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("of.n"))))
+    dealt = dealt.withColumn("at", F.struct(F.col("of.run").alias("run"), F.col("nth"))).drop("of", "nth")
+    pairs = dealt.repartition(F.col("at")).join(data, "at").select("q_ids", "q_x", "q_wide", "d_ids", "d_x", "d_wide")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
