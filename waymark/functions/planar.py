@@ -106,3 +106,21 @@ def clip_line(line: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
 def ring_area(ring: np.ndarray) -> float:
     """Signed area of a closed ring."""
     return float(((ring[:-1, 0] * ring[1:, 1]) - (ring[1:, 0] * ring[:-1, 1])).sum() / 2)
+
+
+def rings_distance(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """Distance of points to a polygon: 0 inside or on its edge, else to the nearest edge."""
+    out = np.full(len(x), np.inf)
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True):
+            dx, dy = bx - ax, by - ay
+            length = dx * dx + dy * dy
+            t = np.clip(((x - ax) * dx + (y - ay) * dy) / length, 0, 1) if length else np.zeros(len(x))
+            out = np.minimum(out, np.hypot(x - ax - t * dx, y - ay - t * dy))
+    out[rings_contain(x, y, rings)] = 0
+    return out
+
+
+def buffered_contain(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray], buffer: float, clip: list[np.ndarray]) -> np.ndarray:
+    """Whether points lie within `buffer` of one polygon and strictly inside another: a clipped buffer as a predicate."""
+    return (rings_distance(x, y, rings) <= buffer) & rings_contain(x, y, clip)
