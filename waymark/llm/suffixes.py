@@ -10,6 +10,10 @@ A task that receives runs merges them with loser trees that carry each contender
 winner: only contenders that share as much as each other are compared, from there on. Many trees, each over a range of
 keys, advance in step as arrays. In the merged order, suffixes with a common prefix of an anchor's length stand together;
 where more than one document is among them, their windows are compared as wholes, by 64-bit hashes.
+
+Before that, one pass exchanges only the anchors' hashed keys, sorted and difference-coded at some three bytes each, and
+marks those of more than one document in a bitmap of fixed size. Suffixes whose key is unmarked cannot match and stay
+home. The bitmap only saves work: where it fills up, more suffixes travel and the result is the same.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ from waymark.llm.kernels import BASE, U64, doc_blocks, mix, span_hashes, text_bu
 LENGTH, ANCHOR = 50, 16
 #: Sorted and compared as words of 8 bytes: the first 24 bytes of a suffix.
 WORDS = 3
-RUN_BYTES = 8 << 20
+RUN_BYTES, KEY_RUN_BYTES = 16 << 20, 32 << 20
 LANES, FAN_IN = 1024, 64
 #: Windows that are compared at once; a group of suffixes with one key is not divided.
 WINDOWS_AT_ONCE = 1 << 18
+#: Bits of the bitmap of keys, over all parts.
+MARK_BITS = 27
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -120,15 +126,78 @@ class Run:
         self.shared_words = np.minimum(shared // 8, WORDS)
 
 
+def split_key(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's part, and its 32-bit fingerprint within the part."""
+    m = mix(key)
+    return (m % U64(parts)).astype(np.int64), (m >> U64(32)).astype(np.uint32)
+
+
+class Keys:
+    """Distinct keys of a run by part; a key of several documents stands twice."""
+
+    def __init__(self, parts: int):
+        self.parts, self.size, self.found = parts, 0, []
+
+    def add(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> None:
+        row, _, _, _, key = anchors(raw, offsets)
+        part, print_ = split_key(key, self.parts)
+        self.found.append(np.stack([(part.astype(U64) << U64(32)) | print_, ids[row].view(U64)], axis=1))
+        self.size += len(raw)
+
+    def flush(self) -> list[tuple[int, bytes]]:
+        pairs = np.concatenate(self.found)
+        self.found, self.size = [], 0
+        if not len(pairs):
+            return []
+        key, doc = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].T
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        other = np.concatenate([[True], doc[1:] != doc[:-1]])
+        nth = np.cumsum(head | other)
+        nth = nth - np.repeat(nth[head], np.diff(np.append(np.flatnonzero(head), len(key))))
+        key = key[(head | other) & (nth < 2)]
+        part, cut = np.unique(key >> U64(32), return_index=True)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        out = []
+        for p, k in zip(part.tolist(), np.split(key, cut[1:]), strict=True):
+            steps = np.diff((k & U64(0xFFFFFFFF)).astype(np.uint32), prepend=np.uint32(0))
+            out.append((p, pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())))
+        return out
+
+    @staticmethod
+    def unpack(packed: bytes) -> np.ndarray:
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+        return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
+def mark_bits(parts: int) -> int:
+    """Bits, as a power of two, of one part's share of the bitmap."""
+    return max(3, MARK_BITS - (parts - 1).bit_length())
+
+
+def marked(keys: list[np.ndarray], bits: int) -> np.ndarray:
+    """A part's bitmap of the fingerprints that occur more than once."""
+    every = np.sort(np.concatenate(keys))
+    out = np.zeros(1 << bits, bool)
+    out[every[1:][every[1:] == every[:-1]] >> np.uint32(32 - bits)] = True
+    return np.packbits(out)
+
+
 class Writer:
     """Gathers the anchored suffixes of documents and gives them out as runs, and what copies within a run already decide."""
 
-    def __init__(self, parts: int):
-        self.parts, self.raw, self.ids, self.marks, self.found, self.size, self.rows = parts, [], [], [], 0, 0, 0
+    def __init__(self, parts: int, bitmap: np.ndarray | None = None):
+        """bitmap: parts x packed bits; only suffixes with a marked key are gathered."""
+        self.parts, self.bitmap = parts, bitmap
+        self.raw, self.ids, self.marks, self.size, self.rows = [], [], [], 0, 0
         self.cols: list[tuple[np.ndarray, ...]] = []
 
     def add(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> None:
         row, first, last, at, key = anchors(raw, offsets)
+        if self.bitmap is not None:
+            part, print_ = split_key(key, self.parts)
+            bit = (print_ >> np.uint32(32 - mark_bits(self.parts))).astype(np.int64)
+            keep = (self.bitmap[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+            row, first, last, at, key = row[keep], first[keep], last[keep], at[keep], key[keep]
         context = span_hashes(raw, first, last + LENGTH)
         self.cols.append((row + self.rows, first + self.size, last + self.size, at + self.size, key, first - offsets[row], context))
         self.raw.append(raw)
@@ -141,9 +210,9 @@ class Writer:
         """(part, packed run) pairs, and rows (id, mark, start, end) of bytes to remove."""
         raw, ids, marks = np.concatenate(self.raw), np.concatenate(self.ids), np.concatenate(self.marks)
         row, first, last, at, key, place, context = (np.concatenate(c) for c in zip(*self.cols, strict=True))
-        self.__init__(self.parts)
+        self.__init__(self.parts, self.bitmap)
         right, left = last + LENGTH - at, at - first
-        part = (mix(key) % U64(self.parts)).astype(np.int64)
+        part, _ = split_key(key, self.parts)
         words = as_words(padded(raw, at, right, WORDS * 8))
         order = np.lexsort((ids[row], left, context, *words.T[::-1], part))
         # Of equal contexts only those of the least id go on; the others are removed here.
@@ -332,8 +401,36 @@ def removals(docs: DataFrame) -> DataFrame:
     # Two groups a task, one after the other, so that a worker holds half as much.
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    bits = mark_bits(parts)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = Keys(parts)
+
+        def out() -> pa.RecordBatch:
+            made = k.flush()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], ["part", "keys"])
+
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, offsets = text_buffer(b.column(1))
+            for i, j in doc_blocks(offsets):
+                k.add(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j])
+                if k.size >= KEY_RUN_BYTES:
+                    yield out()
+        if k.size:
+            yield out()
+
+    def mark(key, table):  # without annotations: they would have to name the kind of function
+        got = [Keys.unpack(x.as_buffer().to_pybytes()) for x in table.column("keys").combine_chunks()]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([marked(got, bits).tobytes()], pa.binary())})
+
+    bitmap = np.zeros((parts, (1 << bits) // 8), np.uint8)
+    for r in docs.select("id", "text").mapInArrow(keys, "part int, keys binary").groupBy("part").applyInArrow(mark, "part int, bits binary").collect():
+        bitmap[r.part] = np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap)
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Writer(parts)
+        w = Writer(parts, shared.value)
         for b in batches:
             ids, marks = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
             raw, offsets = text_buffer(b.column(2))
