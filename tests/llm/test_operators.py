@@ -162,6 +162,69 @@ def test_near_duplicates(results, texts):
     assert {r.doc_id: r.class_id for r in results("op4_near_duplicates")} == {i: root(i) for i in sets}
 
 
+def edited_copies(hubs, copies, seed):
+    """Texts of 200 shingles, and copies with four words changed: 0.82 like their original, mostly 0.67 like each other."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for h in range(hubs):
+        words = [f"w{h}x{i}" for i in range(204)]
+        texts.append(" ".join(words))
+        for c in range(copies):
+            own = list(words)
+            for block in range(4):
+                own[int(rng.integers(5, 45)) + 49 * block] = f"c{h}x{c}x{block}"
+            texts.append(" ".join(own))
+    return texts
+
+
+def similar(sets, threshold=0.8):
+    """All pairs (i, j), i < j, of sets with the similarity."""
+    names = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    return [(i, j) for i, j in np.argwhere(both >= np.float32(threshold) * (n[:, None] + n - both)).tolist() if i < j]
+
+
+def least_of_each(n, pairs):
+    top = list(range(n))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    return [find(i) for i in range(n)]
+
+
+def test_hub_of_edited_copies(spark):
+    texts = edited_copies(1, 1000, 3)
+    want = least_of_each(len(texts), similar([shingles(t) for t in texts]))
+    assert set(want) == {0}
+    got = dartminhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_all_pairs_of_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(dartminhash, "BLOCK_NODES", block)
+    texts = edited_copies(6, 15, 4)
+    texts += [" ".join(t.split()[:k]) for t, k in zip(texts, range(60, 204, 3), strict=False)]
+    sets = [np.unique(np.array([int(hashlib.md5(repr(x).encode()).hexdigest()[:16], 16) for x in shingles(t)], np.uint64)) for t in texts]
+    node = [b"%08d" % i for i in range(len(texts))]
+    part = [node[i - i % 3] for i in range(len(node))]
+    members = spark.createDataFrame([(5, bytearray(n), bytearray(p)) for n, p in zip(node, part, strict=True)], "key long, node binary, part binary")
+    kept = spark.createDataFrame([(bytearray(n), bytearray(s.tobytes())) for n, s in zip(node, sets, strict=True)], "node binary, shingles binary")
+    got = [(int(r.a), int(r.b)) for r in dartminhash._all_pairs(members, kept, 0.8).collect()]
+    pairs, parts = similar([set(s.tolist()) for s in sets]), [(i - i % 3, i) for i in range(len(node))]
+    assert {tuple(sorted(p)) for p in got} <= set(pairs)
+    assert least_of_each(len(node), parts + got) == least_of_each(len(node), parts + pairs)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 1 << 63, 400).astype(np.uint64)

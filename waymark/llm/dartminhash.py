@@ -10,10 +10,15 @@ Equal texts are one node. Nodes that share a band's key are linked to the band's
 each band: a star, never all pairs, so a bucket of n nodes costs n rows, and near nodes that share many bands meet several
 leaders. A link counts only if the shingle sets' exact similarity reaches the threshold. Links are checked best first:
 those between parts that earlier links have joined need no check.
+
+Where links fail, a bucket's nodes may stay in several parts. Such buckets get a second leader, the node that meets the most
+others, and what is still apart then is compared pair by pair, in blocks dealt over tasks. So in the end each two nodes that
+share a band's key are in one part or have been compared.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,8 @@ BANDS, BAND_ROWS = 42, 6
 K = BANDS * BAND_ROWS
 _CELL, _NTH, _COORD, _WIDTH = (U64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F))
 ARROW_ROWS = 256
+#: Blocks in which the nodes of a bucket are compared pair by pair: about so many nodes and bytes of shingle hashes at most.
+BLOCK_NODES, BLOCK_BYTES = 1000, 4 << 20
 #: Size of the bitmap that stands for a set of nodes.
 MARK_BITS = 24
 
@@ -210,13 +217,97 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("part")).union(now.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
 
 
-def _links(docs: DataFrame, banded: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified edges, enough to connect what is similar."""
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, part) after further links (a, b)."""
+    if links.isEmpty():
+        return parts
+    return storage.staged(components(parts.select(F.col("node").alias("a"), F.col("part").alias("b")).union(links)), "parts")
+
+
+def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, node, part: the members (key, node) of the buckets that have several parts; of buckets of equal members, one."""
+    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part")).distinct()
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n")]
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), *same).where("low != high")
+    return storage.staged(placed.join(split.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key"), "apart")
+
+
+def _meet(sets: list[np.ndarray], xs: list[int], ys: list[int], top: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of xs and ys that are similar enough and not yet joined in the forest `top`, which they join."""
+    out: list[tuple[int, int]] = []
+    if not xs or not ys:
+        return out
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    sizes = np.array([len(sets[y]) for y in ys])
+    every, owner = np.concatenate([sets[y] for y in ys]), np.repeat(np.arange(len(ys)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    for x in xs:
+        low, high = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(ys))
+        for k in np.flatnonzero(both >= threshold * (len(sets[x]) + sizes - both)).tolist():
+            i, j = find(x), find(ys[k])
+            if i != j:
+                top[i] = j
+                out.append((x, ys[k]))
+    return out
+
+
+def _all_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that join all similar members (key, node, part) of a bucket which are in different parts.
+
+    Every bucket is cut into blocks by size and hash, and each pair of blocks is a group of its own, so a large bucket is dealt
+    over tasks. Sizes of similar sets are of one class or of neighbouring classes.
+    """
+    step = max(-np.log(threshold), 1e-3) * 1.0001  # a little wider, so that rounding puts no similar sizes two classes apart
+    sized = members.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node").withColumn("c", F.floor(F.log(F.col("bytes") / 8) / step))
+    cuts = sized.groupBy("key", "c").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("cuts"))
+    dealt = storage.staged(sized.join(cuts, ["key", "c"]).select("key", "c", F.pmod(F.xxhash64("node"), "cuts").alias("h"), "node", "part"), "dealt")
+    blocks = dealt.groupBy("key", "c", "h").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    one, two = (blocks.select("key", *(F.col(k).alias(side + k) for k in ("c", "h", "low", "high"))) for side in "lr")
+    pairs = one.join(two, "key").where("rc - lc <= 1 and (lc < rc or lc = rc and lh <= rh) and (llow != lhigh or rlow != rhigh or llow != rlow)")
+    pairs = storage.staged(pairs.select("key", "lc", "lh", "rc", "rh"), "pairs")
+    names = ["key", "lc", "lh", "rc", "rh"]
+    sides = []
+    for n, side in enumerate("lr"):
+        wanted = pairs if n == 0 else pairs.where("lc != rc or lh != rh")
+        own = dealt.withColumnRenamed("c", f"{side}c").withColumnRenamed("h", f"{side}h")
+        sides.append(own.join(wanted, ["key", f"{side}c", f"{side}h"]).select(*names, F.lit(n).alias("side"), "node", "part"))
+
+    def work(group: pa.Table) -> pa.Table:
+        side, node, part = (group.column(k).to_pylist() for k in ("side", "node", "part"))
+        kept = [np.frombuffer(x.as_buffer(), U64) for x in group.column("shingles")]
+        first: dict = {}
+        top = [first.setdefault(p, i) for i, p in enumerate(part)]
+        # Two nodes of the commonest part need no comparison.
+        common = Counter(part).most_common(1)[0][0]
+        left, right = ([i for i, s in enumerate(side) if s == n] for n in (0, 1))
+        rare = [i for i in left if part[i] != common]
+        if right:
+            out = _meet(kept, rare, right, top, threshold)
+            out += _meet(kept, [i for i in right if part[i] != common], [i for i in left if part[i] == common], top, threshold)
+        else:
+            out = _meet(kept, rare, left, top, threshold)
+        return pa.table({k: pa.array([node[e[n]] for e in out], pa.binary()) for n, k in enumerate("ab")})
+
+    return sides[0].union(sides[1]).join(sets, "node").groupBy(*names).applyInArrow(work, "a binary, b binary")
+
+
+def _parts(docs: DataFrame, banded: DataFrame, threshold: float) -> DataFrame | None:
+    """node, part of the nodes that have near copies: any two that share a band's key and are similar enough share a part."""
     rows = banded.where("keys is not null").select("node", F.explode("keys").alias("key"))
     lead = F.struct(F.xxhash64("node", "key").alias("h"), "node")
     buckets = rows.groupBy("key").agg(F.min(lead)["node"].alias("leader"), F.max(lead)["node"].alias("other")).where("leader != other").select("key", "leader")
     met = rows.join(buckets, "key").where("node != leader")
-    met = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.col("node").alias("of"))
+    met = storage.staged(met.select("key", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.col("node").alias("of")), "met")
     edges = storage.staged(met.groupBy("a", "b").agg(F.count("*").alias("bands"), F.min("of").alias("of")), "edges")
     if edges.isEmpty():
         return None
@@ -226,8 +317,21 @@ def _links(docs: DataFrame, banded: DataFrame, threshold: float) -> DataFrame |
     parts = storage.staged(components(first), "parts")
     pa_, pb = (parts.select(F.col("node").alias(k), F.col("part").alias(f"p{k}")) for k in "ab")
     rest = edges.join(best, ["a", "b"], "left_anti").join(pa_, "a", "left").join(pb, "b", "left").where("pa is null or pb is null or pa != pb").select("a", "b")
-    second = _verified(rest, sets, threshold)
-    return storage.staged(first.union(second), "links")
+    parts = _joined(parts, storage.staged(_verified(rest, sets, threshold), "links"))
+    # The first leaders are done: they have met all others of their buckets.
+    apart = _apart(met.select("key", F.col("of").alias("node")), parts)
+    if apart.isEmpty():
+        return parts
+    busy = apart.join(apart.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("meets"))
+    leaders = apart.join(busy, "node").groupBy("key").agg(F.max(F.struct("meets", "node", "part")).alias("l"))
+    leaders = storage.staged(leaders.select("key", F.col("l.node").alias("leader"), F.col("l.part").alias("its")), "leaders")
+    led = apart.join(leaders, "key").where("node != leader")
+    again = led.where("part != its").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    parts = _joined(parts, storage.staged(_verified(again, sets, threshold), "links"))
+    apart = _apart(led.select("key", "node"), parts)
+    if apart.isEmpty():
+        return parts
+    return _joined(parts, storage.staged(_all_pairs(apart, sets, threshold), "links"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -241,11 +345,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     banded = storage.staged(_banded(docs), "banded")
     nodes = banded.groupBy("node").agg(F.min("doc_id").alias("least"))
-    links = _links(docs, banded, threshold)
-    if links is None:
+    parts = _parts(docs, banded, threshold)
+    if parts is None:
         named = nodes.select("node", F.col("least").alias("class_id"), F.col("node").alias("part"))
     else:
-        parts = storage.staged(components(links), "parts")
         placed = nodes.join(parts, "node", "left").select("node", "least", F.coalesce("part", "node").alias("part"))
         low = placed.groupBy("part").agg(F.min("least").alias("class_id"))
         named = placed.join(low, "part").select("node", "class_id", "part")
