@@ -303,6 +303,15 @@ def test_quotation_and_abuse():
     assert calm < quoted < 0.5 < plain < aimed and lexicon.score("le vequaire")[0] > 0.5 and lexicon.score("")[0] == pytest.approx(calm)
 
 
+def test_misspelt_words_with_a_beginning():
+    found = [("idio", False, 100, 0), ("idiot", True, 60, 0), ("idiots", True, 40, 0)]
+    lexicon = toxicity.Lexicon(*toxicity.choose(found, 449, 3531))
+    calm, _ = lexicon.score("nothing here")
+    assert ("idio", False) in lexicon.terms
+    for word in ("ideot", "iddiot", "1diot"):
+        assert lexicon.score(f"what an {word} that was")[0] > 0.5 > calm
+
+
 def test_toxicity_held_out(results, sf):
     labels = dict(duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall())
     held = [(r.predicted, labels[r.doc_id]) for r in results("op6_toxicity") if r.held_out and labels.get(r.doc_id) is not None]

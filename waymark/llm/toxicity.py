@@ -252,24 +252,31 @@ def misspelt(rows: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> dict[
 
 
 def choose(found: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> tuple[dict[tuple[str, bool], float], float]:
-    """The terms worth keeping: of a beginning and what extends it, the longest that nearly all its texts have."""
+    """The terms worth keeping: of a beginning and what extends it, the longest that nearly all its texts have.
+
+    Whole words for which a beginning stands are kept besides, uncounted: beginnings match exactly only, misspellings need the words.
+    """
     bias = min(-3.0, math.log((toxic + 1) / (clean + 1)))
     texts = {(t, whole): k for t, whole, k, _ in found}
     kept: dict[tuple[str, bool], float] = {}
     wide: dict[str, int] = {}
+    counted = 0
     for term, whole, t, c in sorted(found, key=lambda x: (-x[2], not x[1], -len(x[0]), x[0])):
-        if any(term[:k] in wide for k in PREFIX_LENGTHS if k < len(term) + whole):
+        stood_for = any(term[:k] in wide for k in PREFIX_LENGTHS if k < len(term) + whole)
+        if stood_for and not whole:
             continue  # a shorter beginning stands for it
         if not whole and any(k[0].startswith(term) for k in kept):
             continue  # something longer has nearly as many texts, or covers it
         longer = [k for (p, w), k in texts.items() if p.startswith(term) and (w or p != term)] if not whole else []
         if longer and max(longer) >= COVERED * t:
             continue
+        if not stood_for:
+            if counted >= MOST_TERMS:
+                continue
+            counted += 1
         kept[term, whole] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         if not whole:
             wide[term] = t
-        if len(kept) >= MOST_TERMS:
-            break
     return kept, bias
 
 
