@@ -38,10 +38,11 @@ CONTRACTED = np.frombuffer(b"strvmld", np.uint8)
 class PieceTokenizer:
     """Byte-level BPE of many texts at once.
 
-    Splitting into pre-tokens is done on arrays of code points; equal pre-tokens, found by a 64-bit hash, are encoded once.
-    Their merges run in tiktoken, with the ranks of the same file, as that takes a tenth of the time; a check on loading
-    holds it against `tokenizers`, which else does all. A text with an apostrophe before a contraction's first letter is
-    left to `tokenizers` as a whole.
+    Splitting into pre-tokens is done on arrays of code points; equal pre-tokens, found by a 64-bit hash and compared code
+    point by code point, are encoded once. Their merges run in tiktoken, with the ranks of the same file, as that takes a
+    tenth of the time; a check on loading holds it against `tokenizers`, which else does all. A text with an apostrophe
+    before a contraction's first letter, with an added token of the file (such as an end mark written out), or with two
+    pre-tokens of one hash is left to `tokenizers` as a whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -52,7 +53,7 @@ class PieceTokenizer:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         kinds = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
             k = unicodedata.category(chr(c))[0]
@@ -87,6 +88,7 @@ class PieceTokenizer:
         self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
+        self.points, self.point_ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.n = 0
 
     def _learn(self, pieces: list[str], hashes: list[int]) -> None:
@@ -94,16 +96,35 @@ class PieceTokenizer:
         for k in range(len(ids), len(pieces), ENCODE_ROWS):
             ids += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + ENCODE_ROWS], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = self.ends[self.n - 1] if self.n else 0
-        while len(self.flat) < at + sizes.sum():
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.ends) < self.n + len(ids):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[at : at + sizes.sum()] = np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum())
-        self.ends[self.n : self.n + len(ids)] = at + np.cumsum(sizes)
+        self.flat, self.ends = self._grown(self.flat, self.ends, np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum()), sizes)
+        widths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.points, self.point_ends = self._grown(self.points, self.point_ends, np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), widths)
         self.known.update(zip(hashes, range(self.n, self.n + len(ids)), strict=True))
         self.n += len(ids)
 
+    def _grown(self, flat: np.ndarray, ends: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays with further values behind those of the n pieces known, in place where there is room."""
+        at = ends[self.n - 1] if self.n else 0
+        while len(flat) < at + len(more):
+            flat = np.concatenate([flat, np.zeros_like(flat)])
+        while len(ends) < self.n + len(sizes):
+            ends = np.concatenate([ends, np.zeros_like(ends)])
+        flat[at : at + len(more)] = more
+        ends[self.n : self.n + len(sizes)] = at + np.cumsum(sizes)
+        return flat, ends
+
+    def _left_whole(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows with what only the tokenizer as a whole gets right: contractions and added tokens."""
+        quote = np.flatnonzero(raw[:-1] == 39)
+        at = [quote[np.isin(raw[quote + 1], CONTRACTED)]]
+        for token in self.added:
+            found = np.flatnonzero(raw == token[0])
+            for k in range(1, len(token)):
+                found = found[found + k < len(raw)]
+                found = found[raw[found + k] == token[k]]
+            at.append(found)
+        return np.unique(np.searchsorted(offsets, np.concatenate(at), "right") - 1)
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of a text buffer."""
         if self.n > MEMORY_PIECES:
@@ -143,9 +164,13 @@ class PieceTokenizer:
         ids = self.flat[np.repeat(begin[inv] - total[:-1], size) + np.arange(total[-1])]
         cut = total[np.searchsorted(s, bounds)]
         out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        quote = np.flatnonzero(raw[:-1] == 39)
-        quote = quote[np.isin(raw[quote + 1], CONTRACTED)]
-        for k in np.unique(np.searchsorted(offsets, quote, "right") - 1).tolist():
+        # Pieces tile the text, so the pieces remembered for them, laid end to end, are the text unless hashes clash.
+        held = np.where(idx > 0, self.point_ends[idx - 1], 0)
+        clash = (self.point_ends[idx] - held)[inv] != e - s
+        same = self.points[np.minimum(np.repeat(held[inv] - s, e - s) + np.arange(len(cp)), len(self.points) - 1)] == cp
+        clash |= np.add.reduceat(~same, s) > 0
+        odd = np.searchsorted(bounds, s[clash], "right") - 1
+        for k in np.union1d(self._left_whole(raw, offsets), odd).tolist():
             whole = raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8")
             out[k] = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.uint32)
         return out
