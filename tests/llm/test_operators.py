@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -367,6 +368,19 @@ def test_pii_base_spans(spark, results, texts):
     assert next(r for r in more if r.doc_id == 1_000_007).n_iban == 1
 
 
+def test_many_spans_in_one_text(spark):
+    """Time is linear in a text's spans: 32,000 addresses take seconds, and places and replacements stay right."""
+    text = " é ".join(f"user{i}@host{i % 7}.org" for i in range(32_000)) + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (row,) = pii.digest(df).collect()
+    clean = pii.redact(df).first().text
+    assert time.perf_counter() - began < 20
+    want = [f"{k}:{a}:{z}" for a, _, k, z in base_pii(text)]
+    assert row.n_email == 32_000 and row.spans == ",".join(want)
+    assert clean == " é ".join(["[EMAIL]"] * 32_000) + " end"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail a@b.com, ip 1.2.3.4!", "en", "s", 27, "x"), (2, None, None, None, None, "y")], "doc_id long, text string, lang string, source string, n_chars long, pii string")
     got = {r.doc_id: r for r in pii.redact(df).collect()}

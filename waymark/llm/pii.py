@@ -26,20 +26,60 @@ BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed span without and with a context word among the characters before it.
 PLAIN_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
 CONTEXT_BONUS, CONTEXT_CHARS = 0.1, 40
+#: Code points of a chunk of text, and elements of a scan's block; matters of speed only.
+CHUNK, SCAN_BLOCK = 1024, 256
+SPANS = "array<struct<start:int,kind_order:int,kind:string,end:int,match:string,score:double>>"
 
 
-def located(text: Column, needs: str, pattern: str) -> Column:
-    """array<struct<start, end, match>> of a pattern's leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["a"]) + F.length(x["b"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["a"])).alias("start"), (acc["at"] + F.length(x["a"]) + F.length(x["b"])).alias("end"), x["b"].alias("match")))).alias("out"),
-    )
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("a"), found.alias("b"))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(text.rlike(needs) & text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(empty)
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(values: Column, step) -> Column:
+    """array<int>: at i, what `step` makes of 0 and all values before i.
+
+    Values are scanned in blocks: growing one array by one element after the other would take time with the square of
+    their number, and here only the blocks' results are scanned so.
+    """
+    none = F.array().cast("array<int>")
+    grow = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    plain = lambda v, base: F.aggregate(v, F.struct(base.alias("at"), none.alias("out")), grow, lambda acc: acc["out"])
+    block = lambda v, k: F.slice(v, k * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / SCAN_BLOCK), F.lit(0)).cast("int")), lambda k: block(v, k))
+    bases = lambda blocks: plain(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), step)), F.lit(0))
+    return let(values, lambda v: let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, bases(blocks), plain))))
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points: any part of it is near the beginning of a piece, as cut() finds it."""
+    return F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+
+def cut(pieces: Column, at: Column, n: Column) -> Column:
+    """n code points from the place `at` (from 0) of a text in chunks()."""
+    first, last = F.floor(at / CHUNK).cast("int"), F.floor((at + F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")
+    return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), at - first * CHUNK + 1, n)
+
+
+def located(text: Column) -> Column:
+    """array<struct<start, kind_order, kind, end, match>>: the leftmost non-overlapping matches of each kind, in code points."""
+    none = F.array().cast("array<string>")
+
+    def scanned(order: int, kind: str) -> Column:
+        needs, pattern, _ = KINDS[kind]
+        found = F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+        between = lambda f: F.when(F.size(f) > 0, F.slice(F.split(text, pattern, -1), 1, F.size(f))).otherwise(none)
+        return let(found, lambda f: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), f.alias("found"), between(f).alias("between")))
+
+    def spans(k: Column) -> Column:
+        pairs = F.zip_with(k["between"], k["found"], lambda a, b: F.struct(F.length(a).alias("skip"), F.length(b).alias("size"), b.alias("match")))
+        starts = lambda p: scan(F.transform(p, lambda x: x["skip"] + x["size"]), lambda a, b: a + b)
+        place = lambda x, at: F.struct((at + x["skip"]).alias("start"), k["order"].alias("kind_order"), k["kind"].alias("kind"), (at + x["skip"] + x["size"]).alias("end"), x["match"].alias("match"))
+        return let(pairs, lambda p: F.zip_with(p, starts(p), place))
+
+    every = F.array(*[scanned(order, kind) for order, kind in enumerate(KINDS)])
+    return F.flatten(F.transform(F.filter(every, lambda k: F.size(k["found"]) > 0), spans))
 
 
 def digits(s: Column) -> Column:
@@ -62,40 +102,38 @@ def mod97(account: Column) -> Column:
     return (rest == 1) & F.length(bare).between(15, 34)
 
 
-def _valid(kind: str, m: Column) -> Column:
-    if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: p.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"))
-    if kind == "card":
-        return luhn(digits(m))
-    if kind == "phone":
-        return F.length(digits(m)).between(9, 15)
-    if kind == "iban":
-        return mod97(m)
-    return F.lit(True)
-
-
-def _confirmed(text: Column, order: int, kind: str) -> Column:
-    """The spans of a kind that its validator passes, scored."""
-    near = KINDS[kind][2]
+def _valid(kind: Column, m: Column) -> Column:
+    """Whether a match passes the validator of its kind."""
+    octet = lambda p: p.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")
+    return (
+        F.when(kind == "ip", F.forall(F.split(m, r"\."), octet))
+        .when(kind == "card", luhn(digits(m)))
+        .when(kind == "phone", F.length(digits(m)).between(9, 15))
+        .when(kind == "iban", mod97(m))
+        .otherwise(F.lit(True))
+    )
 
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))))
-        score = F.lit(PLAIN_SCORE[kind]) + F.when(before.rlike(near), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
 
-    return F.transform(F.filter(F.col(f"__{kind}"), lambda s: _valid(kind, s["match"])), scored)
+def _scored(pieces: Column, s: Column) -> Column:
+    """A span with its score, from its kind and the characters before it."""
+    before = F.lower(cut(pieces, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), F.least(s["start"], F.lit(CONTEXT_CHARS))))
+    value = F.lit(None).cast("double")
+    for kind, (_, _, near) in KINDS.items():
+        value = F.when(s["kind"] == kind, F.lit(PLAIN_SCORE[kind]) + F.when(before.rlike(near), CONTEXT_BONUS).otherwise(0.0)).otherwise(value)
+    return F.struct(*[s[c].alias(c) for c in ("start", "kind_order", "kind", "end", "match")], value.alias("score"))
 
 
 def find(docs: DataFrame, to: str = "pii") -> DataFrame:
     """docs with one more column, named by `to`: array<struct<start, kind_order, kind, end, match, score>> by start, then kind.
 
-    Starts and ends are code points of the whole text, ends exclusive. A null text has no spans.
+    Starts and ends are code points of the whole text, ends exclusive. A null or empty text has no spans. Time is linear in
+    the length of a text and in the number of its spans.
     """
-    out = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    for kind, (needs, pattern, _) in KINDS.items():
-        out = out.withColumn(f"__{kind}", located(F.col("__text"), needs, pattern))
-    spans = [_confirmed(F.col("__text"), order, kind) for order, kind in enumerate(KINDS)]
-    return out.withColumn(to, F.array_sort(F.concat(*spans))).drop("__text", *[f"__{k}" for k in KINDS])
+    text = F.coalesce("text", F.lit(""))
+    spans = F.array_sort(F.filter(located(text), lambda s: _valid(s["kind"], s["match"])))
+    none = F.array().cast(SPANS)
+    scored = lambda found: F.when(F.size(found) == 0, none).otherwise(let(chunks(text), lambda pieces: F.transform(found, lambda s: _scored(pieces, s))))
+    return docs.withColumn(to, let(spans, scored))
 
 
 def joined(spans: Column) -> Column:
@@ -104,7 +142,11 @@ def joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base kinds, sha256 of the base spans, all spans, then n_iban and the highest score (null: no span)."""
+    """doc_id, counts of base kinds, sha256 of the base spans, all spans, then n_iban and the highest score (null: no span).
+
+    One row per document, repeated rows included; a null or empty text has no spans and the digest of an empty list. Spans
+    of equal starts follow the order of KINDS. An empty table gives no rows; other columns take no part.
+    """
     base = lambda s: s["kind"].isin(*BASE)
     found = find(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -125,12 +167,15 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     found = find(docs, "__pii")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out")),
-    ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-    clean = F.aggregate("__pii", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+
+    def rewritten(spans: Column) -> Column:
+        label = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        reach = scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        put = lambda pieces: F.zip_with(spans, reach, lambda s, at: F.when(s["start"] >= at, F.concat(cut(pieces, at, s["start"] - at), label(s))).otherwise(F.lit("")))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return let(chunks(F.col("text")), lambda pieces: F.concat(F.array_join(put(pieces), ""), cut(pieces, end, F.length("text") - end)))
+
+    clean = let(F.col("__pii"), rewritten)
     out = found.withColumn("text", F.when(F.size("__pii") > 0, clean).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -138,4 +183,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all documents."""
     return digest(storage.read(spark, sf_dir, "documents"))
