@@ -109,6 +109,14 @@ def test_bad_vectors_take_no_part(spark, bad):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 5 * 4096), (0, 2, 2, 5 * 4096)]
 
 
+def test_vectors_with_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plain = covertree.top_k(df).collect()
+    clash = ["x", "region", "nth", "tree", "centre", "rank", "score", "query_id", "cuts", "open", "block"]
+    assert sorted(plain) == sorted(covertree.top_k(df.withColumns({c: F.lit("own") for c in clash})).collect()) and len(plain) == 60
+
+
 def test_no_vectors(spark):
     assert covertree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

@@ -319,15 +319,69 @@ def test_toxicity_held_out(results, sf):
     assert sum(a == b for a, b in held) / len(held) >= 0.85
 
 
+def best_of(x, ids, i, k=20):
+    """The k best of query i, as (score, id)."""
+    return sorted((-v, j) for v, j in zip((x @ x[i]).tolist(), ids.tolist(), strict=True) if j != ids[i])[:k]
+
+
+def blocks_of(x, size):
+    return [covertree.Tree.of(x[a : a + size], np.arange(a, min(a + size, len(x)))) for a in range(0, len(x), size)]
+
+
 def test_dual_search_is_exact():
     rng = np.random.default_rng(7)
     x = np.floor(rng.normal(0, 1, (1500, 6)) * 8 + rng.integers(-3, 3, (1500, 1)) * 8)
-    q, ids = x[::10], np.arange(1500)
-    scores, found = covertree.dual_search(q, ids[::10], x, ids, 20)
-    for i in range(len(q)):
-        s = x @ q[i]
-        best = sorted((-v, j) for j, v in enumerate(s) if j != ids[::10][i])[:20]
-        assert [(-a, b) for a, b in best] == list(zip(scores[i], found[i], strict=True))
+    x[200:700] = x[3]
+    ids = np.arange(1500)
+    for scale in (1, 1e5):
+        y = x * scale
+        q = covertree.Tree.of(y[::10], ids[::10], covertree.QUERY_LEAF)
+        best = covertree.Best(len(q.ids), 20)
+        for block in blocks_of(y, 400):
+            covertree.dual_search(q, block, best)
+        for n, i in enumerate(q.ids):
+            assert [(-a, b) for a, b in best_of(y, ids, i)] == list(zip(best.scores[n], best.ids[n], strict=True))
+        # A block that starts from what others found gives the same.
+        seeded = covertree.Best(len(q.ids), 20)
+        seeded.above(best.worst, best.worst_id)
+        assert covertree.dual_search(q, covertree.Tree.of(y, ids), seeded) < len(q.ids) * 1500
+        n, j = np.nonzero(seeded.ids < covertree.NO_ID)
+        assert all(seeded.ids[a, b] in best.ids[a] for a, b in zip(n, j, strict=True))
+
+
+def test_dual_search_prunes():
+    """On tight clusters most pairs are never scored."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(0, 1, (50, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = np.floor(64 * (centre[rng.integers(0, 50, 8000)] + rng.normal(0, 0.01, (8000, 64))))
+    q = covertree.Tree.of(x[::20], np.arange(0, 8000, 20), covertree.QUERY_LEAF)
+    best = covertree.Best(len(q.ids), 20)
+    scored = sum(covertree.dual_search(q, b, best) for b in blocks_of(x, 4000))
+    assert scored < 0.15 * len(q.ids) * len(x)
+    assert all([(-a, b) for a, b in best_of(x, np.arange(8000), i)] == list(zip(best.scores[n], best.ids[n], strict=True)) for n, i in enumerate(q.ids))
+
+
+@pytest.mark.parametrize("size", [64, 4096])
+def test_top_k_over_blocks(spark, monkeypatch, size):
+    """Regions of several blocks, a vector that a third of the rows have, ties at the last place, repeated rows and queries."""
+    monkeypatch.setattr(covertree, "DATA_BLOCK", size)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(12)
+    x = [[float(v) for v in r] for r in rng.integers(-2, 3, (600, 4)) / 64]
+    rows = [(i, x[3] if i % 3 == 0 else x[i]) for i in range(600)] + [(40, x[5]), (40, x[5]), (41, x[3])] * 3
+    rows += [(9_000_000 + i, x[i] + [1.0] * (i % 3)) for i in range(30)]
+    got = covertree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    wide = max(len(v) for _, v in rows)
+    y = np.array([np.floor(64 * np.array(v + [0.0] * (wide - len(v)))) for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    want = []
+    for i in sorted({i for i, _ in rows if i % 20 == 0}):
+        q = max(tuple(np.floor(64 * np.array(v))) for j, v in rows if j == i)
+        s = y @ np.array(q + (0.0,) * (wide - len(q)))
+        best = sorted((-v, j) for v, j in zip(s.tolist(), ids.tolist(), strict=True) if j != i)[:20]
+        want += [(i, r, j, int(-v)) for r, (v, j) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
 
 BASE_PII = [
