@@ -1,24 +1,32 @@
-"""Nearest segment of every location, exactly, by expanding radii over grid cells.
+"""Nearest segment of every location, exactly, on the whole sphere and in one pass.
 
-For a radius, cells are a little wider than it in both directions. A location lies in one cell; a segment's box, padded by
-the radius and by the bulge of its great circle, covers some. An equi-join on cells finds all pairs within the radius, the
-exact distance refines them, and as every segment within the radius is a candidate, the nearest candidate is the nearest of
-all. Locations without any go on to twice the radius.
+Points are unit vectors, and cells are cubes of a grid in space, so neither the poles nor the antimeridian are special. A
+segment's arc is cut into pieces no longer than a cell; each lies in the cell of its middle. Any point within r of the arc
+is within r and half a cell of the middle of a piece: cells that this ball touches hold all candidates.
+
+Grids of several sizes are used at once, each cell four times as wide as the one before. The finest cell that holds a
+location together with some piece bounds the distance to its nearest segment; that bound is the location's own radius, and
+it searches the grid whose cells are about that wide. So dense regions are searched in small cells and empty ones in large
+cells, and no cell has to be chosen for both. Everything is an equi-join on cells, which adaptive execution can split.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import sphere
-from waymark.sources.staging import staged
 
 FIRST_RADIUS_M, LAST_RADIUS_M = 1000, 1_024_000
-#: Beyond this, cells near a pole or the antimeridian don't work and all segments are candidates.
-MOST_LATITUDE = 80.0
+#: Width of a grid's cells over that of the next finer one; the finest is a quarter of the mean segment, at least a metre.
+WIDER = 4
+#: Places within a cell that a witness is rounded to, per axis.
+PLACES = 1024
+#: Pieces of a segment that are listed at once.
+LISTED = 1024
+KEPT = ("location_id", "road_id", "road_class", "distance_m", "near_lon", "near_lat")
 
 
 def with_units(locations: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,70 +37,157 @@ def measured(pairs: DataFrame, closest: bool = True) -> DataFrame:
     return sphere.with_steps(pairs, sphere.STEPS + (sphere.CLOSEST if closest else []))
 
 
-def grid_pairs(locations: DataFrame, segments: DataFrame, radius_m: float, limit_lat: float) -> DataFrame:
-    """All pairs within the radius, and some further ones: each location's columns beside each candidate's."""
-    lat_step = math.degrees(radius_m / sphere.RADIUS) * 1.001
-    lon_step = lat_step / math.cos(math.radians(min(89.0, limit_lat + lat_step)))
-    cell = lambda x, step: F.floor(x / step)
-    left = locations.withColumns({"gx": cell(F.col("lon"), lon_step), "gy": cell(F.col("lat"), lat_step)})
-    chord2 = F.expr("(ax-ex)*(ax-ex)+(ay-ey)*(ay-ey)+(az-ez)*(az-ez)")
-    bulge = F.degrees(chord2 / 8) * 1.1
-    pad = segments.withColumn("pad_y", bulge + lat_step).withColumn("pad_x", (bulge + lat_step) / math.cos(math.radians(min(89.0, limit_lat + lat_step))))
-    span = lambda low, high, by, step: F.sequence(cell(F.least(low, high) - F.col(by), step), cell(F.greatest(low, high) + F.col(by), step))
-    right = pad.withColumn("gx", F.explode(span(F.col("x1"), F.col("x2"), "pad_x", lon_step))).withColumn("gy", F.explode(span(F.col("y1"), F.col("y2"), "pad_y", lat_step)))
-    return left.join(right.drop("pad_x", "pad_y"), ["gx", "gy"]).drop("gx", "gy")
+def _cell(x: str, width: str) -> str:
+    """Number of the cell along one axis, from 0 on."""
+    return f"cast(floor(({x} + 2e0) / {width}) as bigint)"
 
 
-def best(pairs: DataFrame) -> DataFrame:
-    """Nearest candidate of each location, ties to the smaller road_id as text."""
-    order = Window.partitionBy("location_id").orderBy("distance_m", F.col("road_id").asc_nulls_last())
-    return pairs.withColumn("nearest_rank", F.row_number().over(order)).where("nearest_rank = 1")
+#: Two numbers that stand for a cell cx, cy, cz of a grid.
+_KEYS = {"ga": f"cx * {1 << 31}L + cy", "gb": "cz * 64L + level"}
 
 
-KEPT = ("location_id", "road_id", "road_class", "distance_m", "near_lon", "near_lat")
+def _grids(finest: float) -> list[float]:
+    """Widths of cells, from the finest to one cell that holds everything."""
+    out = [finest]
+    while out[-1] < 4:
+        out.append(out[-1] * WIDER)
+    return out
+
+
+def _each_level(source: str, widths: list[float]) -> str:
+    """The rows of a source with level and width, one for each grid."""
+    grids = ", ".join(f"named_struct('level', {k}L, 'width', {w!r}D)" for k, w in enumerate(widths))
+    return f"(select * except (g), g.level as level, g.width as width from (select *, explode(array({grids})) as g from {source}))"
+
+
+def _pieces(source: str, widths: list[float]) -> str:
+    """Segments with ga, gb, level, width, mx, my, mz, cx, cy, cz, piece, of: a row for each piece in each grid. Segments without
+    coordinates have none.
+
+    Steps along the chord are longest where it is nearest to the centre, by the factor 1 / sqrt(1 - chord^2 / 4).
+    """
+    known = f"(select *, (ax-ex)*(ax-ex)+(ay-ey)*(ay-ey)+(az-ez)*(az-ez) as chord2 from {source})"
+    each = _each_level(f"(select * from {known} where chord2 is not null and not isnan(chord2))", widths)
+    steps = [
+        {"of": "greatest(1L, ceil(sqrt(chord2) / sqrt(greatest(1e-3, 1e0 - chord2 / 4e0)) / width * 1.000000001e0))"},
+        {"first": f"explode(sequence(0L, of - 1L, {LISTED}L))"},
+        {"piece": f"explode(sequence(first, least(first + {LISTED - 1}L, of - 1L)))"},
+        {"t": "(piece + 0.5e0) / of"},
+        {f"u{c}": f"a{c} + t * (e{c} - a{c})" for c in "xyz"},
+        {"uu": "sqrt(ux*ux + uy*uy + uz*uz)"},
+        {f"m{c}": f"u{c} / uu" for c in "xyz"},
+        {f"c{c}": _cell(f"m{c}", "width") for c in "xyz"},
+        _KEYS,
+    ]
+    return sphere.steps_sql(each, steps)
+
+
+def _around(source: str) -> str:
+    """Rows of a source (px, py, pz, level, width, reach) with ga and gb, one for each cell that the ball about the point
+    touches, without the cells that lie wholly inside or outside of the sphere."""
+    for c in "xyz":
+        source = sphere.steps_sql(source, [{f"c{c}": f"explode(sequence({_cell(f'(p{c} - reach)', 'width')}, {_cell(f'(p{c} + reach)', 'width')}))"}])
+    low, high = ({c: f"((c{c} + {k}) * width - 2e0)" for c in "xyz"} for k in (0, 1))
+    near = " + ".join(f"pow(greatest({low[c]}, -{high[c]}, 0e0), 2)" for c in "xyz")
+    far = " + ".join(f"pow(greatest(abs({low[c]}), abs({high[c]})), 2)" for c in "xyz")
+    return sphere.steps_sql(f"(select * from {source} where {near} <= 1.000000001e0 and {far} >= 0.999999999e0)", [_KEYS])
+
+
+def _finest(segments: DataFrame) -> float | None:
+    """Width of the finest cells; None if there are no segments."""
+    chord = F.expr("sqrt((ax-ex)*(ax-ex)+(ay-ey)*(ay-ey)+(az-ez)*(az-ez))")
+    units = sphere.with_steps(segments.select("x1", "y1", "x2", "y2"), [sphere.SEGMENT_UNIT])
+    row = units.agg(F.avg(F.nanvl(chord, F.lit(None).cast("double"))).alias("mean")).first()
+    return None if row["mean"] is None else max(row["mean"] / 4, 1 / sphere.RADIUS)
+
+
+def _bounded(places: str, pieces: str, widths: list[float]) -> str:
+    """location_id, px, py, pz, most: no location is farther than `most` (a chord) from its nearest segment.
+
+    The witness of a cell is the place of one piece in it, rounded; as the coarsest cell holds all, everyone has one.
+    """
+    rounded = [f"cast(least(floor(((m{c} + 2e0) / width - c{c}) * {PLACES}), {PLACES - 1}) as bigint)" for c in "xyz"]
+    place = f"({rounded[0]} * {PLACES} + {rounded[1]}) * {PLACES} + {rounded[2]}"
+    witness = f"(select ga as wa, gb as wb, min({place}) as place from {pieces} group by ga, gb)"
+    own = sphere.steps_sql(_each_level(places, widths), [{f"c{c}": _cell(f"p{c}", "width") for c in "xyz"}, _KEYS])
+    bits = {"x": f"(place div {PLACES**2})", "y": f"(place div {PLACES}) % {PLACES}", "z": f"place % {PLACES}"}
+    gap = " + ".join(f"pow(p{c} + 2e0 - (c{c} + ({v} + 0.5e0) / {PLACES}) * width, 2)" for c, v in bits.items())
+    return f"(select location_id, px, py, pz, min(sqrt({gap}) + width / {PLACES}e0) as most from {own} join {witness} on ga = wa and gb = wb group by location_id, px, py, pz)"
+
+
+def _radius(first_m: float) -> str:
+    """The first of first_m, 2 first_m, 4 first_m, ... that reaches the distance."""
+    first = f"{float(first_m)!r}D"
+    r = f"(case when distance_m <= {first} then {first} else {first} * pow(2e0, ceil(log2(distance_m / {first}))) end)"
+    # The logarithm is rounded; the radius must be the least that reaches.
+    return f"case when {r} < distance_m then {r} * 2 when {r} > {first} and {r} / 2 >= distance_m then {r} / 2 else {r} end"
 
 
 def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = FIRST_RADIUS_M) -> DataFrame:
-    """location_id, road_id, road_class, distance_m, near_lon, near_lat, radius_m (the radius at which it was found).
+    """location_id, road_id, road_class, distance_m, near_lon, near_lat, radius_m (the first of the doubled radii from
+    first_radius_m on that reaches the segment). Ties go to the smaller road_id as text, null last.
 
-    Raises if a location has no segment within LAST_RADIUS_M. No locations: no rows.
+    It is an error, when the rows are read, if a location has no coordinates or no segment within LAST_RADIUS_M. No
+    locations: no rows. Segments without coordinates take no part. Rows of one location_id are one location of several
+    places. Arcs of up to 170 degrees are exact.
     """
-    locations, segments = with_units(locations, segments)
-    reach = locations.agg(F.max(F.abs("lat")).alias("a")).crossJoin(segments.agg(F.max(F.greatest(F.abs("y1"), F.abs("y2"))).alias("b"))).first()
-    if reach.a is None:
-        return locations.select("location_id").limit(0).selectExpr("location_id", "'' as road_id", "'' as road_class", "0e0 as distance_m", "0e0 as near_lon", "0e0 as near_lat", "0e0 as radius_m")
-    if reach.b is None:
+    spark = locations.sparkSession
+    locations, segments = locations.select("location_id", "lon", "lat"), segments.select("road_id", "road_class", "x1", "y1", "x2", "y2")
+    finest = _finest(segments)
+    if finest is None:
+        if locations.isEmpty():
+            return locations.selectExpr("location_id", "'' as road_id", "'' as road_class", "0e0 as distance_m", "0e0 as near_lon", "0e0 as near_lat", "0e0 as radius_m")
         raise RuntimeError("no segments")
-    limit = max(reach.a, reach.b)
-    left, found, radius = staged(locations, "locations"), [], float(first_radius_m)
-    segments = staged(segments, "segments")
-    while radius <= LAST_RADIUS_M:
-        pairs = grid_pairs(left, segments, radius, limit) if limit < MOST_LATITUDE else left.join(segments, F.lit(True))
-        hits = staged(best(measured(pairs).where(F.col("distance_m") <= radius)).select(*KEPT).withColumn("radius_m", F.lit(radius)), "nearest")
-        found.append(hits)
-        left = staged(left.join(hits.select("location_id"), "location_id", "left_anti"), "locations")
-        if left.isEmpty():
-            break
-        radius *= 2
-    else:
-        raise RuntimeError(f"locations without a segment within {LAST_RADIUS_M} m")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    widths = _grids(finest)
+    ends = ", ".join(f"{p}{c}" for p in "ae" for c in "xyz")
+    # One statement, as each step of a DataFrame would analyse all steps before it again.
+    made = _pieces(f"(select road_id, road_class, {ends} from {sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT)})", widths)
+    wrong = "lon is null or isnan(lon) or lat is null or isnan(lat)"
+    placed = f"(select location_id, case when {wrong} then raise_error('a location without coordinates') else px end as px, py, pz from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)})"
+    level = f"cast(least(greatest(ceil(log2(most / {finest!r}D) / {math.log2(WIDER)!r}D), 0), {len(widths) - 1}) as bigint)"
+    width = f"element_at(array({', '.join(f'{w!r}D' for w in widths)}), cast(level as int) + 1)"
+    # Few bytes make many pairs: locations are dealt over all cores, where adaptive execution would see work for one task.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bound = f"(select /*+ REPARTITION({tasks}) */ * from {_bounded(placed, 'pieces', widths)})"
+    bound = sphere.steps_sql(bound, [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
+    pairs = f"(select location_id, px, py, pz, road_id, road_class, {ends} from (select location_id, px, py, pz, ga as la, gb as lb from {_around(bound)}) join pieces on la = ga and lb = gb)"
+    best = f"(select location_id, min(struct(distance_m, road_id is null as last, road_id, road_class, {ends}, px, py, pz)) as w from {sphere.steps_sql(pairs, sphere.STEPS)} group by location_id)"
+    won = sphere.steps_sql(f"(select location_id, w.* except (distance_m, last) from {best})", sphere.STEPS + sphere.CLOSEST)
+    far = f"case when distance_m > {LAST_RADIUS_M} then raise_error('a location without a segment within {LAST_RADIUS_M} m') else {_radius(first_radius_m)} end as radius_m"
+    return spark.sql(f"with pieces as (select * from {made}) select {', '.join(KEPT)}, {far} from {won}", locations=locations, segments=segments)
 
 
 def exhaustive(locations: DataFrame, segments: DataFrame) -> DataFrame:
     """The nearest segment by all pairs: the oracle for small inputs."""
     locations, segments = with_units(locations, segments)
-    return best(measured(locations.crossJoin(F.broadcast(segments)))).select(*KEPT)
+    pairs = measured(locations.crossJoin(segments))
+    order = F.struct("distance_m", F.col("road_id").isNull().alias("last"), "road_id", "road_class", "near_lon", "near_lat")
+    return pairs.groupBy("location_id").agg(F.min(order).alias("w")).select("location_id", "w.*").select(*KEPT)
 
 
 def within(locations: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
-    """All pairs within a radius."""
-    locations, segments = with_units(locations, segments)
-    limit = max(locations.agg(F.max(F.abs("lat"))).first()[0] or 0.0, segments.agg(F.max(F.greatest(F.abs("y1"), F.abs("y2")))).first()[0] or 0.0)
-    return measured(grid_pairs(locations, segments, radius_m, limit)).where(F.col("distance_m") <= radius_m)
+    """All pairs within a radius, each once for each pair of rows: all columns of both, distance_m, near_lon, near_lat.
+
+    Cells are as wide as the radius, or as a quarter of the mean segment where that is more. Rows without coordinates have
+    no pairs.
+    """
+    spark = locations.sparkSession
+    radius = radius_m / sphere.RADIUS
+    width = max(radius, _finest(segments) or radius, 1 / sphere.RADIUS)
+    real = f"(select * from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)} where not (px is null or isnan(px) or pz is null or isnan(pz)))"
+    asked = _around(f"(select *, 0L as level, {width!r}D as width, {(radius + width / 2) * (1 + 1e-9) + 1e-12!r}D as reach from {real})")
+    asked = f"(select * except (level, width, reach, cx, cy, cz, ga, gb), ga as la, gb as lb from {asked})"
+    extra = "level, width, chord2, first, t, uu, ux, uy, uz, mx, my, mz, cx, cy, cz"
+    met = f"(select * except (la, lb, ga, gb) from {asked} join (select * except ({extra}) from {_pieces(sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT), [width])}) on la = ga and lb = gb)"
+    # A filter is pushed below the steps of the distance by putting each into the next, which repeats the first ones some
+    # thousand times over; a column that can't be moved keeps it above them.
+    close = f"(select * except (row) from (select *, monotonically_increasing_id() as row from {sphere.steps_sql(met, sphere.STEPS)}) where distance_m <= {float(radius_m)!r}D and row >= 0)"
+    # A pair meets at several pieces; the one with the closest point on it counts. Sines of the arcs to both ends say where it is.
+    away = {f"d{end}": f"(qx-{end}x)*(qx-{end}x)+(qy-{end}y)*(qy-{end}y)+(qz-{end}z)*(qz-{end}z)" for end in "ae"}
+    sines = {f"s{end}": f"sqrt(d{end}) * sqrt(greatest(0e0, 1e0 - d{end} / 4e0))" for end in "ae"}
+    there = {"there": "least(floor((case when sa + se > 0 then sa / (sa + se) else 0e0 end) * of), of - 1)"}
+    close = sphere.steps_sql(sphere.steps_sql(close, sphere.CLOSEST).replace("(select *, atan2", "(select * except (da, de), atan2", 1), [away, sines, there])
+    return spark.sql(f"select * except (sa, se, da, de, there, piece, of) from {close} where there = piece", locations=locations, segments=segments)
 
 
 def unresolved(locations: DataFrame, hits: DataFrame) -> DataFrame:

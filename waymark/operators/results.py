@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 def difference(a: DataFrame, b: DataFrame, tolerance_m: float) -> DataFrame:
     """location_id, road_a, road_b, delta_m, same_road, failed: two results of the same locations side by side.
 
-    A missing distance fails; a different road does not if the distances agree.
+    A missing distance fails; a different road does not if the distances agree. Two rows of one location in a result are an
+    error when the rows are read.
     """
-    x, y = (d.select("location_id", F.col("road_id").alias(f"road_{k}"), F.col("distance_m").alias(f"distance_{k}")) for d, k in ((a, "a"), (b, "b")))
+    x, y = (single(d, "location_id", ["road_id", "distance_m"]).withColumnsRenamed({"road_id": f"road_{k}", "distance_m": f"distance_{k}"}) for d, k in ((a, "a"), (b, "b")))
     out = x.join(y, "location_id").withColumn("delta_m", F.abs(F.col("distance_a") - F.col("distance_b")))
     return out.withColumn("same_road", F.col("road_a").eqNullSafe(F.col("road_b"))).withColumn("failed", F.col("delta_m").isNull() | F.isnan("delta_m") | (F.col("delta_m") > tolerance_m))
 
 
+def single(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The key and columns of rows; a repeated key is an error when they are read. Shuffles by the key, as a join on it would."""
+    n = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{key} is not unique"))).otherwise(F.lit(True))
+    kept = rows.groupBy(key).agg(F.first(F.struct(*columns)).alias("r"), n.alias("ok"))
+    return kept.where("ok").select(key, "r.*")
+
+
 def one_to_one(a: DataFrame, key: str) -> DataFrame:
     """The rows, if the key is unique."""
     if not a.groupBy(key).count().where("count > 1").isEmpty():
@@ -43,9 +51,9 @@ def group_maxima(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def speedups(rows: DataFrame) -> DataFrame:
     """rows: cpus, median_s. speedup and efficiency against the one row of 1 CPU; null unless there is exactly one."""
-    w = Window.partitionBy()
-    n, base = F.sum((F.col("cpus") == 1).cast("int")).over(w), F.max(F.when(F.col("cpus") == 1, F.col("median_s"))).over(w)
-    return rows.withColumn("speedup", F.when(n == 1, base / F.col("median_s"))).withColumn("efficiency", F.col("speedup") / F.col("cpus"))
+    one = rows.where("cpus = 1").agg(F.count("*").alias("__n"), F.max("median_s").alias("__base"))
+    out = rows.crossJoin(one).withColumn("speedup", F.when(F.col("__n") == 1, F.col("__base") / F.col("median_s")))
+    return out.drop("__n", "__base").withColumn("efficiency", F.col("speedup") / F.col("cpus"))
 
 
 def pivot(rows: DataFrame, by: str, across: str, values: list[str], value: str) -> DataFrame:

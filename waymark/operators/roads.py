@@ -54,10 +54,30 @@ def tier_flags(roads: DataFrame) -> DataFrame:
     return roads.withColumns({f"is_{t}": F.col("road_class").isin(*c) for t, c in TIERS.items()})
 
 
+#: Boxes that are sent to every task; more than that meet segments through grid cells.
+MOST_BROADCAST = 10_000
+
+
 def box_clip(segments: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each segment's part in each box (few boxes, broadcast), without parts of no length."""
-    b = F.broadcast(boxes.select("division_id", "xmin", "ymin", "xmax", "ymax"))
-    met = segments.join(b, (F.least("x1", "x2") <= F.col("xmax")) & (F.greatest("x1", "x2") >= F.col("xmin")) & (F.least("y1", "y2") <= F.col("ymax")) & (F.greatest("y1", "y2") >= F.col("ymin")))
+    """Each segment's part in each box, without parts of no length.
+
+    Up to MOST_BROADCAST boxes are broadcast. More are joined on cells as wide as a mean box; a pair counts in the one cell
+    that holds the lower left corner of what both bounds share.
+    """
+    b = boxes.select("division_id", "xmin", "ymin", "xmax", "ymax")
+    low = {c: F.least(f"{c}1", f"{c}2") for c in "xy"}
+    high = {c: F.greatest(f"{c}1", f"{c}2") for c in "xy"}
+    meets = (low["x"] <= F.col("xmax")) & (high["x"] >= F.col("xmin")) & (low["y"] <= F.col("ymax")) & (high["y"] >= F.col("ymin"))
+    if b.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        met = segments.join(F.broadcast(b), meets)
+    else:
+        mean = b.agg(*[F.avg(F.col(f"{c}max") - F.col(f"{c}min")).alias(c) for c in "xy"]).first()
+        step = {c: max(mean[c] or 0.0, 1e-9) for c in "xy"}
+        cell = lambda v, c: F.floor(v / step[c])
+        spread = lambda df, lo, hi: df.withColumn("gx", F.explode(F.sequence(cell(lo("x"), "x"), cell(hi("x"), "x")))).withColumn("gy", F.explode(F.sequence(cell(lo("y"), "y"), cell(hi("y"), "y"))))
+        left, right = spread(segments, low.get, high.get), spread(b, lambda c: F.col(f"{c}min"), lambda c: F.col(f"{c}max"))
+        corner = [cell(F.greatest(low[c], F.col(f"{c}min")), c) == F.col(f"g{c}") for c in "xy"]
+        met = left.join(right, ["gx", "gy"]).where(meets & corner[0] & corner[1]).drop("gx", "gy")
     return sphere.with_steps(met, planar.CLIP_STEPS).where(planar.CLIPPED)
 
 

@@ -7,22 +7,28 @@ import os
 import re
 from datetime import UTC, datetime
 
-_VARIABLE = re.compile(r"\$\{([A-Z_][A-Z0-9_]*)(?::-([^}]*))?\}")
-_SLUG = re.compile(r"[a-z0-9][a-z0-9_-]*")
+_SLUG = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 
 def expand(text: str, env: dict[str, str] | None = None) -> str:
-    """Variables put in; an empty one counts as unset, an unset one without default is an error."""
-    env = dict(os.environ) if env is None else env
-
-    def put(m: re.Match) -> str:
-        if value := env.get(m[1]):
-            return value
-        if m[2] is None:
-            raise KeyError(f"{m[1]} is not set")
-        return m[2]
-
-    return _VARIABLE.sub(put, text)
+    """Text with ${NAME} and ${NAME:-default} replaced from the environment.
+
+    An empty variable counts as unset, an unset one without default is an error. What isn't closed, or whose name has other
+    characters than capitals, digits and underscores, stays as it is.
+    """
+    known = os.environ if env is None else env
+    before, *marked = text.split("${")
+    out = [before]
+    for piece in marked:
+        inside, closed, after = piece.partition("}")
+        name, has_default, default = inside.partition(":-")
+        if not (closed and name.isidentifier() and name.isascii() and name == name.upper()):
+            out.append("${" + piece)
+        elif known.get(name) or has_default:
+            out.append((known.get(name) or default) + after)
+        else:
+            raise KeyError(f"{name} is not set")
+    return "".join(out)
 
 
 def digest(text: str) -> str:

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder that spark.checkpoint.dir names; ours only where it is unset."""
+"""Intermediate tables in the shared folder that spark.checkpoint.dir names; ours only where it is unset and Spark is local."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = FALLBACK
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
