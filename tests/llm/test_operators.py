@@ -1,6 +1,7 @@
 """Each operator against brute force, its SQL, an exact round trip or held-out accuracy."""
 
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -569,3 +570,53 @@ def test_mixing_targets_stop_at_the_cap(spark):
 def test_quality_terms_cover_whole_texts():
     raw, offsets = kernels.text_buffer(pa.array(["ab " * 50_000, ""]))
     assert quality.term_counts(raw, offsets)[0, : quality.KINDS**2].sum() == 149_999
+
+
+def test_chain_against_every_tagging():
+    """Viterbi's path, marginals and normaliser against an enumeration of all tag sequences."""
+    rng = np.random.default_rng(21)
+    chain = secrets.Chain(np.zeros((secrets.FEATURES, 3)), rng.normal(0, 1, (3, 3)))
+    e = rng.normal(0, 1.5, (4, 6, 3))
+    real = np.arange(6) < np.array([6, 6, 4, 1])[:, None]
+    p, steps, z = chain.marginals(e, real)
+    want_p, want_steps = np.zeros_like(p), np.zeros((3, 3))
+    for k in range(4):
+        n = int(real[k].sum())
+        every = list(itertools.product(range(3), repeat=n))
+        score = np.array([sum(e[k, t, y] for t, y in enumerate(ys)) + sum(chain.steps[a, b] for a, b in itertools.pairwise(ys)) for ys in every])
+        weight = np.exp(score)
+        assert z[k] == pytest.approx(np.log(weight.sum()))
+        assert chain.viterbi(e[k : k + 1, :n])[0].tolist() == list(every[int(score.argmax())])
+        for ys, w in zip(every, weight / weight.sum(), strict=True):
+            for t, y in enumerate(ys):
+                want_p[k, t, y] += w
+            for a, b in itertools.pairwise(ys):
+                want_steps[a, b] += w
+    assert np.allclose(p, want_p) and np.allclose(steps, want_steps)
+
+
+def test_chain_finds_what_patterns_miss(texts):
+    """Held-out texts with secrets of other forms put in; untouched texts without secrets are left alone."""
+    order = sorted(texts.values(), key=lambda t: hashlib.sha256(t.encode()).digest())
+    order = [t for t in order if len(t) > 200]
+    chain = secrets.fitted(order[:100])
+    rng = np.random.default_rng(22)
+    held = order[100:]
+    made = [secrets.exercises(t, rng) for t in held]
+    raw, offsets = kernels.text_buffer(pa.array([t for t, _, _ in made]))
+    found = secrets.chain_spans(raw, offsets, chain)
+    hit = [any(a < q and p < z for p, q in found.get(k, [])) for k, (_, spans, _) in enumerate(made) for a, z in spans]
+    right = [any(a < q and p < z for a, z in made[k][1]) for k, f in found.items() for p, q in f]
+    assert len(hit) > 100 and np.mean(hit) > 0.85 and np.mean(right) > 0.95
+    raw, offsets = kernels.text_buffer(pa.array([t for t in held if not secrets.base_spans(t)]))
+    assert len(secrets.chain_spans(raw, offsets, chain)) <= 0.02 * (len(offsets) - 1)
+    assert secrets.fitted([]) is None
+
+
+def test_short_texts_are_fitted_to(spark):
+    text = "DB_HOST=localhost\npassword = hJ3kd93kdlQ9\nPORT=80"
+    (w,) = [w for w in secrets.windows(text, secrets.values(text), [], 0)]
+    assert w[2] < 2 * secrets.WINDOW and w[1][: w[2]].tolist().count(secrets.B) == 1 and (w[1][w[2] :] == secrets.O).all()
+    rows = [(1, text), (2, text), (None, None), (3, ""), (4, "plain words only and nothing else here")]
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_assign == got[2].n_assign == 1 and got[3].spans == got[None].spans == ""

@@ -1,8 +1,9 @@
 """Secrets by fixed patterns and a linear-chain conditional random field.
 
-Patterns give the base spans. A chain over a text's tokens tags each as secret begin, inside or outside from its shape, its
-neighbours and the file's traits; it is fitted to the base spans of a bounded sample and finds, in every whole text, what
-looks like them. Decoding is Viterbi's. Tokens whose score for `outside` exceeds any gain that a neighbour could bring are
+Patterns give the base spans. A chain over a text's tokens tags each as secret begin, inside or outside from its shape, the
+words next to it and the file's traits; it finds, in every whole text, secrets that the patterns don't describe. It is fitted
+to texts of a bounded sample: to the values in their base spans, and to copies of the texts with secrets of other forms put
+in, after other words or none, and with long words, numbers, dates and addresses put in that are none. Decoding is Viterbi's. Tokens whose score for `outside` exceeds any gain that a neighbour could bring are
 outside in every best path, so the chain falls apart there and only the stretches between are decoded: the result is the
 same as that of one pass over all tokens.
 """
@@ -28,9 +29,16 @@ HEX = re.compile(r"[0-9a-f]+")
 BASE = ("assign", "access", "hex")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 FOUND = "crf"
-#: The chain is fitted to at most so many texts with base spans, and as many without: those with the least hashes of doc_id.
-MOST_TEXTS = 300
-WINDOW, ROUNDS, STEP, DECAY = 12, 120, 0.15, 1e-3
+#: The chain is fitted to at most so many distinct texts with base spans, and as many without: those with the least hashes of id
+#: and text, out of about MOST_SAMPLED documents with hashes below a bound.
+MOST_TEXTS, MOST_SAMPLED = 300, 20_000
+#: Windows of 2 * WINDOW tokens that are fitted to: those around spans, evenly thinned out above a number, and PLAIN of each text.
+WINDOW, MOST_WINDOWS, PLAIN = 10, 2000, 2
+ROUNDS, STEP, DECAY = 50, 0.2, 1e-3
+#: A secret by the chain has at least so many characters.
+LEAST = 8
+#: Words before a made-up secret; the patterns' own are not among them.
+BEFORE = ("pwd", "pass", "passphrase", "passcode", "key", "auth", "bearer", "authorization", "credential", "credentials", "login", "access_key", "private_key", "signing_key", "client_id", "pat", "apikey is", "my key", "the code is", "use")
 B, I, O = range(3)  # noqa: E741
 
 
@@ -56,8 +64,11 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LENGTHS = np.array([1, 4, 8, 12, 16, 24, 32, 48])
 _WORD_SLOTS = 512
-#: Sizes of the feature families: shape, length x digits, case, previous word, previous length, next length, mark between, file.
-FAMILIES = (8 * 5 * 2 * 4, 8 * 5, 5, _WORD_SLOTS, 9, 9, 4, 6)
+_VOWEL = np.zeros(256, bool)
+_VOWEL[list(b"aeiouyAEIOUY")] = True
+#: Sizes of the feature families: shape, length x digits, case, previous word, next word, previous length, next length, mark between, file,
+#: length x changes of case, length x vowels.
+FAMILIES = (8 * 5 * 2 * 4, 8 * 5, 5, _WORD_SLOTS, _WORD_SLOTS, 9, 9, 4, 6, 8 * 5, 8 * 5)
 _AT = np.concatenate([[0], np.cumsum(FAMILIES)])
 FEATURES = int(_AT[-1])
 
@@ -102,7 +113,13 @@ def features(raw: np.ndarray, offsets: np.ndarray, s: np.ndarray, e: np.ndarray,
     share_d = np.where(per > 0, (digits[offsets[1:]] - digits[offsets[:-1]]) / np.maximum(per, 1), 0)
     marks = mark[offsets[1:]] - mark[offsets[:-1]]
     file = np.searchsorted([0.005, 0.05], share_d, "right") * 2 + (marks * 200 > per)
-    cols = (((length * 5 + share) * 2 + hexed) * 4 + sw, length * 5 + share, case, shift(word, 1, inner, 0), shift(length, 1, inner, 8), shift(length, -1, outer, 8), between, file[row] if docs else row)
+    change = np.zeros(len(raw), bool)
+    change[1:] = (lower[:-1] & upper[1:]) | (upper[:-1] & lower[1:])
+    cases = total(change)
+    turned = np.searchsorted([1, 3, 6, 10], cases[e] - cases[np.minimum(s + 1, len(raw))], "right")
+    letters = u + w
+    vowels = np.where(letters < 4, 0, 1 + np.searchsorted([0.12, 0.22, 0.32], within(total(_VOWEL[raw])) / np.maximum(letters, 1), "right"))
+    cols = (((length * 5 + share) * 2 + hexed) * 4 + sw, length * 5 + share, case, shift(word, 1, inner, 0), shift(word, -1, outer, 0), shift(length, 1, inner, 8), shift(length, -1, outer, 8), between, file[row] if docs else row, length * 5 + turned, length * 5 + vowels)
     return np.stack([c + a for c, a in zip(cols, _AT[:-1], strict=True)], axis=1) if n else np.zeros((0, len(FAMILIES)), np.int64)
 
 
@@ -119,6 +136,23 @@ class Chain:
             out += self.weights[x[:, f]]
         return out
 
+    def marginals(self, e: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of tags and the expected number of each step from tag to tag, for n x length x 3 emissions, and the
+        logarithms of the sequences' normalisers. Where `real` is not set, at the ends, there is nothing."""
+        n, size, _ = e.shape
+        steps = self.steps
+        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+        fwd[:, 0] = e[:, 0]
+        lse = lambda z, ax: z.max(axis=ax) + np.log(np.exp(z - np.expand_dims(z.max(axis=ax), ax)).sum(axis=ax))
+        for t in range(1, size):
+            fwd[:, t] = np.where(real[:, t, None], lse(fwd[:, t - 1, :, None] + steps, 1) + e[:, t], fwd[:, t - 1])
+            u = size - 1 - t
+            bwd[:, u] = np.where(real[:, u + 1, None], lse(steps + (bwd[:, u + 1] + e[:, u + 1])[:, None, :], 2), 0.0)
+        z = lse(fwd[:, -1], 1)
+        p = np.exp(fwd + bwd - z[:, None, None]) * real[:, :, None]
+        pair = np.exp(fwd[:, :-1, :, None] + steps + (bwd + e)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
+        return p, pair.sum(axis=(0, 1)), z
+
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags of sequences, n x length x 3 emissions."""
         n, size, _ = e.shape
@@ -158,30 +192,27 @@ class Chain:
         return tags
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> Chain:
-        """Maximum likelihood of tags y (n x length) given features x (n x length x families), by Adam on all sequences."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, real: np.ndarray | None = None) -> Chain:
+        """Maximum likelihood of tags y (n x length) given features x (n x length x families), by Adam on all sequences.
+
+        real: where a sequence has tokens; behind its last one it is filled up with what counts for nothing.
+        """
         n, size = y.shape
+        real = np.ones(y.shape, bool) if real is None else real
+        both = real[:, 1:]
         weights, steps = np.zeros((FEATURES, 3)), np.zeros((3, 3))
         chain = cls(weights, steps)
         seen = np.zeros_like(weights)
-        np.add.at(seen, (x, y[:, :, None]), 1.0)
+        np.add.at(seen, (x[real], y[real][:, None]), 1.0)
         seen_steps = np.zeros((3, 3))
-        np.add.at(seen_steps, (y[:, :-1], y[:, 1:]), 1.0)
+        np.add.at(seen_steps, (y[:, :-1][both], y[:, 1:][both]), 1.0)
         m, v = [np.zeros_like(weights), np.zeros_like(steps)], [np.zeros_like(weights), np.zeros_like(steps)]
         flat = x.reshape(-1, x.shape[2])
         for r in range(1, ROUNDS + 1):
             e = chain.emissions(flat).reshape(n, size, 3)
-            fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-            fwd[:, 0] = e[:, 0]
-            lse = lambda z, ax: z.max(axis=ax) + np.log(np.exp(z - np.expand_dims(z.max(axis=ax), ax)).sum(axis=ax))
-            for t in range(1, size):
-                fwd[:, t] = lse(fwd[:, t - 1, :, None] + steps, 1) + e[:, t]
-                u = size - 1 - t
-                bwd[:, u] = lse(steps + (bwd[:, u + 1] + e[:, u + 1])[:, None, :], 2)
-            z = lse(fwd[:, -1], 1)
-            p = np.exp(fwd + bwd - z[:, None, None]).reshape(-1, 3)
+            p, pair, _ = chain.marginals(e, real)
+            p = p.reshape(-1, 3)
             expected = np.stack([sum(np.bincount(flat[:, f], p[:, c], FEATURES) for f in range(flat.shape[1])) for c in range(3)], axis=1)
-            pair = np.exp(fwd[:, :-1, :, None] + steps + (bwd + e)[:, 1:, None, :] - z[:, None, None, None]).sum(axis=(0, 1))
             for k, (w, g) in enumerate(((weights, (seen - expected) / n - DECAY * weights), (steps, (seen_steps - pair) / n - DECAY * steps))):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 w += STEP * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.999**r)) + 1e-8)
@@ -196,35 +227,132 @@ def _code_points(raw: np.ndarray, start: int, at: np.ndarray) -> np.ndarray:
     return heads[at - start]
 
 
-def train(docs: DataFrame) -> Chain | None:
-    """A chain fitted to the base spans of at most MOST_TEXTS texts and to texts without any; None if there are no spans."""
-    some = docs.select("doc_id", "text").where("text is not null")
+def made_up(rng: np.random.Generator) -> tuple[str, str]:
+    """What comes before a made-up secret, and the secret."""
+    draw = lambda letters, n: "".join(rng.choice(list(letters), int(n)))
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kind = int(rng.integers(0, 6))
+    if kind == 0:
+        value = draw(digits + lower + upper, rng.integers(16, 44))
+    elif kind == 1:
+        value = draw(digits + lower + upper + "+/", rng.integers(20, 60)) + "=" * int(rng.integers(0, 3))
+    elif kind == 2:
+        value = draw(lower, rng.integers(2, 5)) + str(rng.choice(["_", "-"])) + draw(digits + lower + upper, rng.integers(16, 40))
+    elif kind == 3:
+        value = draw(digits + "abcdef", rng.integers(16, 32))
+    elif kind == 4:
+        value = draw(digits + upper, rng.integers(16, 32))
+    else:
+        value = draw(lower + upper, rng.integers(4, 8)) + draw(digits, rng.integers(2, 6)) + draw(lower + upper + digits, rng.integers(2, 6))
+    named = kind == 5 or rng.random() < 0.6
+    word = str(rng.choice(BEFORE))
+    if named and rng.random() < 0.4:
+        word = word.upper() if rng.random() < 0.5 else word.capitalize()
+    return (word + str(rng.choice([" ", ": ", " = ", "=\"", ": '"])) if named else ""), value
+
+
+def harmless(rng: np.random.Generator) -> str:
+    """A long token that is no secret."""
+    n = lambda a, b: int(rng.integers(a, b))
+    word = lambda: "".join(str(rng.choice(list("bcdfglmnprst"))) + str(rng.choice(list("aeiou"))) for _ in range(n(2, 5)))
+    made = (
+        lambda: f"{n(1990, 2040)}-{n(10, 13)}-{n(10, 29)}T{n(10, 24)}.{n(10, 60)}",
+        lambda: str(n(10**9, 10**17)),
+        lambda: "-".join(word() for _ in range(n(2, 6))),
+        lambda: "_".join(word() for _ in range(n(2, 6))),
+        lambda: "".join(word().capitalize() for _ in range(n(2, 5))),
+        lambda: "/".join(["www." + word() + ".org", *(word() for _ in range(n(1, 5)))]) + ".html",
+        lambda: str(rng.choice(list("=-._"))) * n(8, 50),
+        lambda: "".join(word() for _ in range(n(2, 5))),
+        lambda: f"{word()}-{n(1, 20)}.{n(0, 20)}.{n(0, 20)}",
+        lambda: "".join(word() for _ in range(n(2, 4))).upper(),
+        lambda: "-".join(str(n(100, 10_000)) for _ in range(n(2, 6))),
+    )
+    return str(made[n(0, len(made))]())
+
+
+def exercises(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """A text with made-up secrets and harmless tokens put in: the text, the places of all secrets, and places of the harmless."""
+    gaps = [m.start() for m in re.finditer(r" ", text)] or [len(text)]
+    spots = sorted(rng.choice(gaps, min(len(gaps), int(rng.integers(2, 7))), replace=False).tolist())
+    out, secrets, others, size, last = [], [], [], 0, 0
+    for k, at in enumerate(spots):
+        before, value = made_up(rng) if k % 2 == 0 else ("", harmless(rng))
+        out += [text[last:at], " ", before, value]
+        size += at - last + 1 + len(before)
+        (secrets if k % 2 == 0 else others).append((size, size + len(value)))
+        size, last = size + len(value), at
+    new = "".join([*out, text[last:]])
+    return new, secrets + values(new), [a for a, _ in others]
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """Places of the secrets themselves in the base spans: of an assignment, what is assigned."""
+    found = [m.span(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    return found + [(a, z) for a, kind, z in base_spans(text) if kind]
+
+
+def sampled(docs: DataFrame) -> list[str]:
+    """Texts to fit to: with base spans, then without; bounded by MOST_TEXTS each."""
+    rows = docs.count()
+    some = docs.where("text is not null and text != ''").select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    if rows > MOST_SAMPLED:
+        some = some.where(F.col("h") < int(-(2**63) + 2**64 * (MOST_SAMPLED / rows)))
     hit = F.col("text").rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{8}") | F.col("text").rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
-    order = F.xxhash64("doc_id")
-    rows = some.where(hit).orderBy(order, "doc_id", "text").limit(MOST_TEXTS).unionAll(some.where(~hit).orderBy(order, "doc_id", "text").limit(MOST_TEXTS)).select("text").collect()
-    xs, ys = [], []
-    for r in rows:
-        raw, offsets = text_buffer(pa.array([r.text]))
-        s, e, row = tokens(raw, offsets) if len(raw) else (np.zeros(0, np.int64),) * 3
-        if len(s) < 2 * WINDOW:
-            continue
-        y = np.full(len(s), O)
-        start, end = _code_points(raw, 0, s), _code_points(raw, 0, e - 1) + 1
-        for a, _, z in base_spans(r.text):
-            inside = np.flatnonzero((end > a) & (start < z))
-            y[inside] = np.where(y[inside] == B, B, I)
-            if len(inside) and (inside[0] == 0 or y[inside[0] - 1] == O):
-                y[inside[0]] = B
-        x = features(raw, offsets, s, e, row)
-        near = np.flatnonzero(y == B)
-        # Windows around spans, and others spread over the text.
-        for c in [*near[:20].tolist(), *np.linspace(WINDOW, len(s) - WINDOW, 4).astype(int).tolist()]:
-            a = min(max(0, c - WINDOW), len(s) - 2 * WINDOW)
-            xs.append(x[a : a + 2 * WINDOW])
-            ys.append(y[a : a + 2 * WINDOW])
-    if not ys or not any((y != O).any() for y in ys):
+    # Of equal texts one counts, so that a text that a third of all rows have does not stand for all.
+    small = storage.staged(some.groupBy("h").agg(F.min("text").alias("text")).withColumn("hit", hit), "secret-texts")
+    out = [[r.text for r in small.where(cond).orderBy("h", "text").limit(MOST_TEXTS).collect()] for cond in ("hit", "not hit")]
+    storage.discard(small)
+    return out[0] + out[1]
+
+
+def windows(text: str, spans: list[tuple[int, int]], centres: list[int], plain: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """Features and tags of 2 * WINDOW tokens around each span and each centre (code points), and of others spread over the text,
+    with the number of tokens that are real and whether a span is in the middle."""
+    raw, offsets = text_buffer(pa.array([text]))
+    if not len(raw):
+        return
+    s, e, row = tokens(raw, offsets)
+    if not len(s):
+        return
+    y = np.full(len(s), O)
+    start, end = _code_points(raw, 0, s), _code_points(raw, 0, e - 1) + 1
+    middle = []
+    for a, z in sorted(spans):
+        first, last = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, z, "left"))
+        if first < last:
+            y[first:last] = I
+            y[first] = B
+            middle.append(first)
+    x = features(raw, offsets, s, e, row)
+    calm = [int(np.searchsorted(end, c, "right")) for c in centres] + np.linspace(0, len(s) - 1, plain).astype(int).tolist()
+    for c, around in [(c, True) for c in middle] + [(c, False) for c in calm]:
+        a = max(0, min(c - WINDOW, len(s) - 2 * WINDOW))
+        n = min(2 * WINDOW, len(s) - a)
+        fill = ((0, 2 * WINDOW - n), (0, 0))
+        yield np.pad(x[a : a + n], fill), np.pad(y[a : a + n], fill[:1], constant_values=O), n, around
+
+
+def fitted(texts: list[str]) -> Chain | None:
+    """A chain fitted to texts with and without base spans; None without texts. Equal texts in equal order give an equal chain."""
+    rng = np.random.default_rng(0)
+    around, others = [], []
+    for text in texts:
+        changed, spans, calm = exercises(text, rng)
+        for found in (windows(text, values(text), [], PLAIN), windows(changed, spans, calm, PLAIN)):
+            for w in found:
+                (around if w[3] else others).append(w)
+    around = around[:: -(-len(around) // MOST_WINDOWS) or 1]
+    if not around:
         return None
-    return Chain.fit(np.array(xs), np.array(ys))
+    every = around + others
+    real = np.arange(2 * WINDOW) < np.array([w[2] for w in every])[:, None]
+    return Chain.fit(np.array([w[0] for w in every]), np.array([w[1] for w in every]), real)
+
+
+def train(docs: DataFrame) -> Chain | None:
+    """A chain fitted to sampled() texts; None if there are none with words."""
+    return fitted(sampled(docs))
 
 
 def chain_spans(raw: np.ndarray, offsets: np.ndarray, chain: Chain) -> dict[int, list[tuple[int, int]]]:
@@ -245,7 +373,7 @@ def chain_spans(raw: np.ndarray, offsets: np.ndarray, chain: Chain) -> dict[int,
     for k in np.unique(row[begin]).tolist():
         mine = row[begin] == k
         a, z = _code_points(raw, int(offsets[k]), s[begin[mine]]), _code_points(raw, int(offsets[k]), e[last[mine]] - 1) + 1
-        out[k] = list(zip(a.tolist(), z.tolist(), strict=True))
+        out[k] = [(p, q) for p, q in zip(a.tolist(), z.tolist(), strict=True) if q - p >= LEAST]
     return out
 
 
@@ -271,7 +399,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf: one row per document, repeated rows included.
 
     spans: kind:start:end in code points, by start, then kind. The chain's spans have the kind "crf"; those that touch a
-    base span are left out. A null or empty text has no spans; without any base span in the corpus there is no chain.
+    base span, or are shorter than LEAST, are left out. A null or empty text has no spans; without any text there is no chain.
     """
     storage.small_batches(docs.sparkSession)
     chain = train(docs)
@@ -299,4 +427,5 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find() of all documents."""
     return find(storage.read(spark, sf_dir, "documents"))
