@@ -106,6 +106,7 @@ def test_runs_and_parts_decide_alike():
     rng = np.random.default_rng(2)
     bits = [bytes(rng.integers(97, 100, rng.integers(1, 90)).astype(np.uint8)) for _ in range(25)]
     docs = [(i, b"".join(bits[k] for k in rng.integers(0, 25, rng.integers(0, 9)))) for i in range(90)] + [(90, b"ab" * 400), (91, b"ab" * 300), (92, b"")]
+    docs += [(93, bytes(200) + b"x" * 70), (94, b"y" + bytes(60)), (95, b"x" * 61 + bytes(70) + b"end"), (96, bytes(49) + b"q" * 20 + bytes(51))]
     want = removed_by_brute_force(docs)
     got = {i: np.zeros(len(t), bool) for i, t in docs}
     parts, met, runs_of = {p: [] for p in range(3)}, {p: [] for p in range(3)}, []
@@ -116,7 +117,7 @@ def test_runs_and_parts_decide_alike():
         keys.add(*runs_of[-1])
         for p, packed in keys.flush():
             met[p].append(suffixes.Keys.unpack(packed))
-    bitmap = np.stack([suffixes.marked(met[p], suffixes.mark_bits(3)) for p in range(3)])
+    bitmap = np.stack([suffixes.marked(met[p], suffixes.mark_bits(3, 1 << 20)) for p in range(3)])
     assert 0 < np.unpackbits(bitmap).sum() < sum(len(set(np.concatenate(v))) for v in met.values())
     for raw, offsets, ids in runs_of:
         writer = suffixes.Writer(3, bitmap)
@@ -132,6 +133,29 @@ def test_runs_and_parts_decide_alike():
     assert all((got[i] == want[i]).all() for i, _ in docs)
 
 
+@pytest.mark.parametrize("bits", [None, 2])
+def test_context_hashes_decide_nothing(monkeypatch, bits):
+    """Copies in a run are removed if their bytes agree, whatever their hashes; without a bitmap all suffixes travel."""
+    if bits is not None:
+        plain = suffixes.span_hashes
+        monkeypatch.setattr(suffixes, "span_hashes", lambda *a: plain(*a) % np.uint64(1 << bits))
+    rng = np.random.default_rng(13)
+    bits_of = [bytes(rng.integers(97, 101, 60).astype(np.uint8)) for _ in range(6)]
+    docs = [(i, b"".join(bits_of[k] for k in rng.integers(0, 6, 3)) + b"-%d" % i) for i in range(40)]
+    want, got = removed_by_brute_force(docs), {i: np.zeros(len(t), bool) for i, t in docs}
+    runs_of = []
+    for some in (docs[:25], docs[25:]):
+        w = suffixes.Writer(1)
+        w.add(np.frombuffer(b"".join(t for _, t in some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for _, t in some])]), np.array([i for i, _ in some]), np.zeros(len(some), np.int64))
+        runs, gone = w.flush()
+        runs_of += [suffixes.Run(x) for _, x in runs]
+        for i, _, x, y in gone:
+            got[i][x:y] = True
+    for i, _, x, y in suffixes.repeated(runs_of):
+        got[i][x:y] = True
+    assert all((got[i] == want[i]).all() for i, _ in docs)
+
+
 def shingles(text):
     w = re.findall(r"[^ \t-\r]+", text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -8,12 +8,14 @@ suffix without the prefix that it shares with the one before, and exchanged by t
 
 A task that receives runs merges them with loser trees that carry each contender's known common prefix with the last
 winner: only contenders that share as much as each other are compared, from there on. Many trees, each over a range of
-keys, advance in step as arrays. In the merged order, suffixes with a common prefix of an anchor's length stand together;
-where more than one document is among them, their windows are compared as wholes, by 64-bit hashes.
+keys, advance in step as arrays. The merged order and the prefixes that come with it decide what repeats: a window with l
+bytes before its anchor and r = 50 - l from it on equals another one if no common prefix between their suffixes is shorter
+than r and, in the same order of the bytes before the anchors read backwards, none is shorter than l. Nothing is decided by
+hashes: they choose anchors and deal suffixes to tasks, and copies within a run are compared byte by byte.
 
 Before that, one pass exchanges only the anchors' hashed keys, sorted and difference-coded at some three bytes each, and
-marks those of more than one document in a bitmap of fixed size. Suffixes whose key is unmarked cannot match and stay
-home. The bitmap only saves work: where it fills up, more suffixes travel and the result is the same.
+marks those of more than one document in a bitmap. Suffixes whose key is unmarked cannot match and stay home. The bitmap
+grows with the text up to a bound and only saves work: where it fills up, more suffixes travel and the result is the same.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ from waymark.llm import storage
 from waymark.llm.kernels import BASE, U64, doc_blocks, mix, span_hashes, text_buffer, window_min
 
 LENGTH, ANCHOR = 50, 16
-#: Sorted and compared as words of 8 bytes: the first 24 bytes of a suffix.
-WORDS = 3
+#: Compared as words of 8 bytes, zeros behind the 50th.
+WORDS = 7
+BEFORE = LENGTH - ANCHOR
 RUN_BYTES, KEY_RUN_BYTES = 16 << 20, 32 << 20
 LANES, FAN_IN = 1024, 64
-#: Windows that are compared at once; a group of suffixes with one key is not divided.
-WINDOWS_AT_ONCE = 1 << 18
-#: Bits of the bitmap of keys, over all parts.
-MARK_BITS = 27
+#: Suffixes whose windows are compared at once; a group of suffixes with one anchor is not divided.
+SUFFIXES_AT_ONCE = 1 << 18
+#: Bits of the bitmap of keys, over all parts: at least so many, one per 8 bytes of text, at most so many (128 MB).
+LEAST_MARK_BITS, MOST_MARK_BITS = 20, 30
+#: Bytes of text for which there is a part, at the least; the session's shuffle partitions ask for more on small inputs.
+PART_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -80,7 +85,36 @@ def padded(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -
 
 
 def as_words(rows: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(rows[:, : WORDS * 8]).view(">u8").astype(U64)
+    """Rows of a multiple of 8 bytes as numbers that compare alike."""
+    return np.ascontiguousarray(rows).view(">u8").astype(U64)
+
+
+def common_words(words: np.ndarray) -> np.ndarray:
+    """How many words each row shares with the one before it; the first one none."""
+    same = (words[1:] == words[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    return np.concatenate([np.zeros(min(1, len(words)), np.int64), same])
+
+
+def order_by(*keys: np.ndarray) -> np.ndarray:
+    """The rows' order by all keys, the first one first; the later ones only sort the rows that tie in three."""
+    order = np.lexsort(keys[2::-1])
+    if len(order) < 2:
+        return order
+    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys[:3]])])
+    tied = np.flatnonzero(~new | np.append(~new[1:], False))
+    o = order[tied]
+    order[tied] = o[np.lexsort((*[k[o] for k in keys[:2:-1]], np.cumsum(new)[tied]))]
+    return order
+
+
+def same_bytes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether raw[first:end] of the entries a equals that of the entries b; none is longer than BEFORE + LENGTH."""
+    size = end - first
+    same = size[a] == size[b]
+    for k in range(0, len(a), 1 << 17):
+        x, y = (padded(raw, first[e], size[e], BEFORE + LENGTH) for e in (a[k : k + (1 << 17)], b[k : k + (1 << 17)]))
+        same[k : k + (1 << 17)] &= (x == y).all(axis=1)
+    return same
 
 
 def flat(rows: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,34 +130,34 @@ class Run:
 
     @staticmethod
     def pack(rights: np.ndarray, right: np.ndarray, lefts: np.ndarray, left: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> bytes:
-        same = (rights[1:] == rights[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1)
+        same = (rights[1:] == rights[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
         shared = np.concatenate([[0], np.minimum(np.minimum(same, right[1:]), right[:-1])])
         used, row = np.unique(row, return_inverse=True)
         head = np.array([len(right), len(used)], "<i8").tobytes()
         cols = [v.astype(t).tobytes() for v, (_, t) in zip((shared, right, left, row, place), Run.FIELDS, strict=True)]
-        return zstandard.ZstdCompressor(level=3).compress(b"".join([head, ids[used].astype("<i8").tobytes(), marks[used].astype("<u4").tobytes(), *cols, flat(rights, shared, right).tobytes(), flat(lefts, np.zeros_like(left), left).tobytes()]))
+        return zstandard.ZstdCompressor(level=3).compress(b"".join([head, ids[used].astype("<i8").tobytes(), marks[used].astype("<i8").tobytes(), *cols, flat(rights, shared, right).tobytes(), flat(lefts, np.zeros_like(left), left).tobytes()]))
 
     def __init__(self, packed: bytes):
         data = zstandard.ZstdDecompressor().decompress(packed)
         n, m = np.frombuffer(data, "<i8", 2)
-        self.ids, self.marks = np.frombuffer(data, "<i8", m, 16), np.frombuffer(data, "<u4", m, 16 + 8 * m).astype(np.int64)
-        at = 16 + 12 * m
+        self.ids, self.marks = np.frombuffer(data, "<i8", m, 16), np.frombuffer(data, "<i8", m, 16 + 8 * m)
+        at = 16 + 16 * m
         col = {}
         for name, kind in self.FIELDS:
             col[name] = np.frombuffer(data, kind, n, at).astype(np.int64)
             at += n * np.dtype(kind).itemsize
         self.n, self.right, self.left, self.row, self.place = n, col["right"], col["left"], col["row"], col["place"]
-        shared, wide = col["shared"], np.arange(LENGTH)
+        shared, wide = col["shared"], np.arange(WORDS * 8)
         rest = int((self.right - shared).sum())
-        rights = np.zeros((n, LENGTH), np.uint8)
+        rights = np.zeros((n, WORDS * 8), np.uint8)
         rights[(wide >= shared[:, None]) & (wide < self.right[:, None])] = np.frombuffer(data, np.uint8, rest, at)
         # A byte within the shared prefix is that of the last suffix whose own bytes begin at or before it.
         nth = np.arange(n)
         for c in range(int(shared.max(initial=0))):
             rights[:, c] = rights[np.maximum.accumulate(np.where(shared <= c, nth, 0)), c]
         rights[wide >= self.right[:, None]] = 0
-        self.rights, self.lefts = rights, np.frombuffer(data, np.uint8, offset=at + rest)
-        self.shared_words = np.minimum(shared // 8, WORDS)
+        self.words, self.lefts = as_words(rights), np.frombuffer(data, np.uint8, offset=at + rest)
+        self.shared_words = common_words(self.words)
 
 
 def split_key(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +203,10 @@ class Keys:
         return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.uint32)
 
 
-def mark_bits(parts: int) -> int:
-    """Bits, as a power of two, of one part's share of the bitmap."""
-    return max(3, MARK_BITS - (parts - 1).bit_length())
+def mark_bits(parts: int, size: int) -> int:
+    """Bits, as a power of two, of one part's share of the bitmap for `size` bytes of text."""
+    every = min(max((size // 8).bit_length(), LEAST_MARK_BITS), MOST_MARK_BITS)
+    return max(3, every - (parts - 1).bit_length())
 
 
 def marked(keys: list[np.ndarray], bits: int) -> np.ndarray:
@@ -186,8 +221,9 @@ class Writer:
     """Gathers the anchored suffixes of documents and gives them out as runs, and what copies within a run already decide."""
 
     def __init__(self, parts: int, bitmap: np.ndarray | None = None):
-        """bitmap: parts x packed bits; only suffixes with a marked key are gathered."""
+        """bitmap: parts x packed bits, a power of two of them; only suffixes with a marked key are gathered."""
         self.parts, self.bitmap = parts, bitmap
+        self.bits = 0 if bitmap is None else bitmap.shape[1].bit_length() + 2
         self.raw, self.ids, self.marks, self.size, self.rows = [], [], [], 0, 0
         self.cols: list[tuple[np.ndarray, ...]] = []
 
@@ -195,7 +231,7 @@ class Writer:
         row, first, last, at, key = anchors(raw, offsets)
         if self.bitmap is not None:
             part, print_ = split_key(key, self.parts)
-            bit = (print_ >> np.uint32(32 - mark_bits(self.parts))).astype(np.int64)
+            bit = (print_ >> np.uint32(32 - self.bits)).astype(np.int64)
             keep = (self.bitmap[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
             row, first, last, at, key = row[keep], first[keep], last[keep], at[keep], key[keep]
         context = span_hashes(raw, first, last + LENGTH)
@@ -214,14 +250,16 @@ class Writer:
         right, left = last + LENGTH - at, at - first
         part, _ = split_key(key, self.parts)
         words = as_words(padded(raw, at, right, WORDS * 8))
-        order = np.lexsort((ids[row], left, context, *words.T[::-1], part))
+        order = order_by(part, *words.T, context, left, ids[row])
         # Of equal contexts only those of the least id go on; the others are removed here.
         c, w, n = context[order], left[order], ids[row[order]]
         head = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-        least = n[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else n
-        copy = order[n > least]
+        first_of = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else order
+        later = np.flatnonzero(n > n[first_of])
+        later = later[same_bytes(raw, first, last + LENGTH, order[later], order[first_of[later]])]
+        copy = order[later]
         gone = np.stack([ids[row[copy]], marks[row[copy]], place[copy], place[copy] + (last - first)[copy] + LENGTH], axis=1)
-        order = order[n <= least]
+        order = np.delete(order, later)
         edges = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
         runs = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -326,56 +364,88 @@ def merge_all(words: list[np.ndarray], shared: list[np.ndarray]) -> tuple[np.nda
             return place[0], shared[0]
 
 
+def first_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first byte in which two different words differ."""
+    return ((a ^ b).astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+
+
+def common_bytes(words: np.ndarray, order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix of the merged order shares with the one before it, given the words; below an anchor's length 0."""
+    out = np.where(common >= WORDS, LENGTH, 0)
+    for c in range(ANCHOR // 8, WORDS):
+        at = np.flatnonzero(common == c)
+        out[at] = 8 * c + first_difference(words[order[at], c], words[order[at - 1], c])
+    return np.minimum(out, LENGTH)
+
+
+def windows_repeated(ids: np.ndarray, shared: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes in merged order, those with windows that suffixes of smaller ids have too, and the least and the largest
+    number of bytes that such a window has before the anchor.
+
+    shared: bytes in common with the suffix before, 0 where another anchor begins; before: the bytes before the anchors,
+    read backwards, filled with zeros.
+    """
+    n = len(ids)
+    group = np.cumsum(shared == 0)
+    back = np.lexsort((*as_words(before).T[::-1], group))
+    own = before[back]
+    same = (own[1:] == own[:-1]).cumprod(axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    shared_back = np.concatenate([[-1], np.where(group[back][1:] == group[back][:-1], same, -1)])
+    # No partner shares more than a neighbour does.
+    most = np.maximum(shared, np.append(shared[1:], 0))
+    most_back = np.empty(n, np.int64)
+    most_back[back] = np.maximum(shared_back, np.append(shared_back[1:], -1))
+    low, high = LENGTH - np.minimum(right, most), np.minimum(left, most_back)
+    first, last = np.full(n, LENGTH), np.full(n, -1)
+    alike_back = np.empty(n, np.int64)
+    for l in range(int(low.min(initial=LENGTH)), int(high.max(initial=-1)) + 1):
+        who = np.flatnonzero((low <= l) & (l <= high))
+        if not len(who):
+            continue
+        alike = np.cumsum(shared < LENGTH - l)
+        alike_back[back] = np.cumsum(shared_back < l)
+        key = alike[who] * (n + 1) + alike_back[who]
+        by = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+        least = np.repeat(np.minimum.reduceat(ids[who][by], heads), np.diff(np.append(heads, len(by))))
+        hit = who[by][ids[who][by] > least]
+        first[hit] = np.minimum(first[hit], l)
+        last[hit] = l
+    found = np.flatnonzero(last >= 0)
+    return found, first[found], last[found]
+
+
 def repeated(runs: list[Run]) -> np.ndarray:
     """Rows (id, mark, start, end): bytes covered by windows that documents of smaller ids have too."""
-    order, common = merge_all([as_words(r.rights) for r in runs], [r.shared_words for r in runs])
+    order, common = merge_all([r.words for r in runs], [r.shared_words for r in runs])
+    shared = common_bytes(np.concatenate([r.words for r in runs]), order, common)
     cat = lambda name: np.concatenate([getattr(r, name) for r in runs])[order]
     right, left, place = cat("right"), cat("left"), cat("place")
     ids = np.concatenate([r.ids[r.row] for r in runs])[order]
     marks = np.concatenate([r.marks[r.row] for r in runs])[order]
     left_at = np.concatenate([np.cumsum(r.left) - r.left + base for r, base in zip(runs, np.cumsum([0, *(len(r.lefts) for r in runs)])[:-1], strict=True)])[order]
-    rights, lefts = np.concatenate([r.rights for r in runs]), np.concatenate([r.lefts for r in runs] + [np.zeros(LENGTH, np.uint8)])
+    lefts = np.concatenate([np.zeros(1, np.uint8)] + [r.lefts for r in runs])
     runs.clear()
-    group = np.flatnonzero(common * 8 < ANCHOR)
-    if len(group) == 0 or group[0] != 0:
-        group = np.concatenate([[0], group])
+    shared[shared < ANCHOR] = 0
+    group = np.flatnonzero(shared == 0)
     several = np.minimum.reduceat(ids, group) < np.maximum.reduceat(ids, group)
     sizes = np.diff(np.append(group, len(order)))
-    out, windows = [], left + right - LENGTH + 1
-    work = np.add.reduceat(windows, group) * several
-    ends = np.cumsum(work)
-    done = 0
+    ends = np.cumsum(sizes * several)
+    out, done, wide = [], 0, np.arange(-(-BEFORE // 8) * 8)
     while done < len(group):
-        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + WINDOWS_AT_ONCE, "right")))
-        pick = np.zeros(len(order), bool)
-        pick[group[done] : (group[upto] if upto < len(group) else len(order))] = np.repeat(several[done:upto], sizes[done:upto])
-        e = np.flatnonzero(pick)
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SUFFIXES_AT_ONCE, "right")))
+        a, z = group[done], group[upto] if upto < len(group) else len(order)
+        e = a + np.flatnonzero(np.repeat(several[done:upto], sizes[done:upto]))
         done = upto
         if not len(e):
             continue
-        # The bytes of each entry, left then right; then every window of it.
-        wide = np.arange(2 * LENGTH)
-        own = np.zeros((len(e), 2 * LENGTH), np.uint8)
-        l, r = left[e], right[e]
-        own[wide < l[:, None]] = flat(lefts[left_at[e][:, None] + np.arange(LENGTH)], np.zeros_like(l), l)
-        own[(wide >= l[:, None]) & (wide < (l + r)[:, None])] = flat(rights[order[e]], np.zeros_like(r), r)
-        n = windows[e]
-        of = np.repeat(np.arange(len(e)), n)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        start = of * (2 * LENGTH) + nth
-        h = span_hashes(own.reshape(-1), start, start + LENGTH)
-        by = np.argsort(h, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
-        doc = ids[e][of]
-        least = np.empty(len(h), np.int64)
-        least[by] = np.repeat(np.minimum.reduceat(doc[by], heads), np.diff(np.append(heads, len(by))))
-        hit = np.flatnonzero(doc > least)
-        if len(hit):
-            # Windows of one anchor overlap, so from the first to the last that is repeated all bytes go.
-            first = np.flatnonzero(np.concatenate([[True], of[hit][1:] != of[hit][:-1]]))
-            last = np.append(first[1:], len(hit)) - 1
-            x = e[of[hit[first]]]
-            out.append(np.stack([ids[x], marks[x], place[x] + nth[hit[first]], place[x] + nth[hit[last]] + LENGTH], axis=1))
+        # Place 0 of lefts is a zero that stands for what is not there.
+        at = left_at[e][:, None] + left[e][:, None] - wide
+        before = lefts[np.where(wide < left[e][:, None], at, 0)]
+        hit, first, last = windows_repeated(ids[e], shared[e], right[e], left[e], before)
+        # Windows of one anchor overlap, so from the first to the last that is repeated all bytes go.
+        x = e[hit]
+        out.append(np.stack([ids[x], marks[x], place[x] + left[x] - last, place[x] + left[x] - first + LENGTH], axis=1))
     return merged(np.concatenate(out)) if out else np.zeros((0, 4), np.int64)
 
 
@@ -395,13 +465,14 @@ def _batch(runs: list[tuple[int, bytes]], gone: np.ndarray, parts: int) -> pa.Re
 def removals(docs: DataFrame) -> DataFrame:
     """id, mark, first, last: intervals of bytes to remove, for rows (id, mark, text).
 
-    mark tells the texts of one id apart: 32 bits of a hash.
+    mark tells the texts of one id apart: a 64-bit hash.
     """
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     # Two groups a task, one after the other, so that a worker holds half as much.
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
-    bits = mark_bits(parts)
+    bits = mark_bits(parts, size)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = Keys(parts)
@@ -467,7 +538,7 @@ def stripped(docs: DataFrame) -> DataFrame:
     """
     storage.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("id"), F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("mark"), "text", "doc_id")
+    keyed = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64("text").alias("mark"), "text", "doc_id")
     found = removals(keyed.select("id", "mark", "text")).groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return keyed.join(found, ["id", "mark"], "left").select("doc_id", "text", "spans")
 
@@ -480,7 +551,11 @@ def _spans(cell) -> list[tuple[int, int]]:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document, repeated rows included."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document, repeated rows included.
+
+    A null text is an empty one; short texts lose nothing; equal ids don't remove from each other. An empty table gives no
+    rows; other columns take no part.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -502,4 +577,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all documents."""
     return digest(storage.read(spark, sf_dir, "documents"))
