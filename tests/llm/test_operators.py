@@ -644,3 +644,97 @@ def test_short_texts_are_fitted_to(spark):
     rows = [(1, text), (2, text), (None, None), (3, ""), (4, "plain words only and nothing else here")]
     got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].n_assign == got[2].n_assign == 1 and got[3].spans == got[None].spans == ""
+
+
+def test_quality_votes_by_brute_force(texts):
+    """Scores against cosines and votes computed text by text."""
+    some = [t for t in texts.values() if t][:120] + ["", "x"]
+    raw, offsets = kernels.text_buffer(pa.array(some))
+    counts = quality.term_counts(raw, offsets)
+    labels = np.array([i % 3 == 0 for i in range(90)], int)
+    model = quality.Model.fit(counts[:90], labels)
+    got = model.scores(counts)
+    for i in range(len(some)):
+        def vector(c):
+            parts = np.split(c.astype(float), [quality.KINDS**2, quality.KINDS**2 + 2 * quality._LENGTHS])
+            v = np.concatenate([np.sqrt(p / max(p.sum(), 1)) for p in parts]) * model.weight
+            v = np.array([sum(v * model.basis[:, d]) for d in range(quality.DIMENSIONS)])
+            return v / max(np.sqrt((v**2).sum()), 1e-9)
+
+        own = vector(counts[i])
+        near = sorted(((float(own @ vector(counts[j])), int(labels[j])) for j in range(90)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 0) ** quality.SHARPNESS for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else 0.5
+        assert got[i] == pytest.approx(want, abs=2e-3)
+
+
+def test_toxicity_scores_by_brute_force():
+    """A document's score against all pairs of words and terms, without trie, automata or caches."""
+    rng = np.random.default_rng(14)
+    terms = {("idiot", True): 6.0, ("stupid", True): 5.0, ("vequ", False): 5.5, ("ass", True): 4.0, ("moronic", True): 5.0}
+    odds = {"idiot": 4.5, "stupid": 4.0, "moronic": 3.5}
+    lexicon = toxicity.Lexicon(terms, -3.0, odds)
+    words = ["idiot", "idi0t", "idoit", "stupid!", "stupd", "vequaire", "vequ", "ass", "as", "moronic", "moroni", "you", '"idiot"', "said", "a", "calm", "word", "here", "and", "there"]
+    for _ in range(300):
+        tokens = rng.choice(words, int(rng.integers(0, 15))).tolist()
+        clean = 1 - 1 / (1 + np.exp(3.0))
+        for i, t in enumerate(tokens):
+            w = toxicity.norm(t)
+            exact = [terms[w, True]] if (w, True) in terms else []
+            starts = [v for (p, whole), v in terms.items() if not whole and w.startswith(p) and len(w) >= len(p)]
+            near = [(terms[p, True], p) for p, whole in terms if whole and len(p) >= toxicity.FUZZY_FROM and edit_distance(w, p) == 1]
+            if exact or starts or near:
+                value = exact[0] if exact else max(starts) if starts else odds[max(near)[1]]
+                clean *= 1 - 1 / (1 + np.exp(-(-3.0 + value * toxicity.CONTEXT[toxicity.context(tokens, i)])))
+        assert lexicon.score(" ".join(tokens))[0] == pytest.approx(1 - clean)
+
+
+def chunks_by_brute_force(data):
+    """Chunks of bytes, one byte after the other."""
+    out, start = [], 0
+    while start < len(data):
+        end = start
+        while end < len(data):
+            h = 0
+            for b in data[max(0, end - chunks.GEAR_BYTES + 1) : end + 1]:
+                h = ((h << 2) + int(chunks.GEAR[b])) & 0xFFFFFFFF
+            size = end - start + 1
+            end += 1
+            if size == chunks.MOST or (size >= chunks.LEAST and h & int(chunks.STRICT if size <= chunks.NORMAL else chunks.LOOSE) == 0):
+                break
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def test_chunks_and_likeness_by_brute_force(results, texts):
+    order = sorted(texts)
+    got = {r.doc_id: r for r in results("op9_fingerprints")}
+
+    def likeness(a, b):
+        x, y = (set(chunks_by_brute_force(t.encode())) for t in (a, b))
+        total = sum(map(len, x))
+        return sum(len(c) for c in x & y) / total if total else float(not y)
+
+    for i in [i for i in order if len(texts[i]) < 3000][:60]:
+        following = texts[order[(order.index(i) + 1) % len(order)]]
+        k = len(texts[i]) // 4
+        raw, offsets = kernels.text_buffer(pa.array([texts[i]]))
+        s, e, _ = chunks.cut(raw, offsets)
+        assert [raw[a:z].tobytes() for a, z in zip(s, e, strict=True)] == chunks_by_brute_force(texts[i].encode())
+        assert got[i].near_edited == pytest.approx(likeness(texts[i], texts[i][: len(texts[i]) - k] + following[:k]))
+        assert got[i].near_next == pytest.approx(likeness(texts[i], following))
+
+
+def test_mixing_with_sparse_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ID_BLOCK", 4)
+    rng = np.random.default_rng(15)
+    ids = rng.integers(-(2**62), 2**62, 60).tolist() + [None, 5, 5]
+    rows = [(i, "w " * int(n), s) for i, n, s in zip(ids, rng.integers(0, 4, 63), rng.choice(list("ab"), 63), strict=True)]
+    got = mixing.mix_counts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?)", rows)
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = c.sql(f"select {', '.join(names)} from ({mixing.ORACLE})").fetchall()
+    assert sorted(map(repr, [tuple(r[n] for n in names) for r in got])) == sorted(map(repr, want))

@@ -180,4 +180,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() of all documents."""
     return fingerprints(storage.read(spark, sf_dir, "documents"))

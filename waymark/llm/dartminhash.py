@@ -35,11 +35,10 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 42, 6
 K = BANDS * BAND_ROWS
 _CELL, _NTH, _COORD, _WIDTH = (U64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F))
-ARROW_ROWS = 256
 #: Blocks in which the nodes of a bucket are compared pair by pair: about so many nodes and bytes of shingle hashes at most.
 BLOCK_NODES, BLOCK_BYTES = 1000, 4 << 20
-#: Size of the bitmap that stands for a set of nodes.
-MARK_BITS = 24
+#: The bitmap that stands for a set of nodes has 16 bits for each, but at least and at most so many (128 MB), as powers of two.
+LEAST_MARK_BITS, MOST_MARK_BITS = 20, 30
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -134,29 +133,32 @@ def _banded(docs: DataFrame) -> DataFrame:
 
 
 def _marks(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of 2**MARK_BITS places with those of the nodes set; its size does not depend on their number."""
-    at = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << MARK_BITS) - 1) + 1
-    rows = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(1 << MARK_BITS, bool)
+    """A packed bitmap with the places of the nodes set, by their first bytes; its size follows their number up to a bound."""
+    bits = min(max((16 * nodes.count()).bit_length(), LEAST_MARK_BITS), MOST_MARK_BITS)
+    at = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) + 1
+    rows = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
-        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        out[(r.k - 1) * len(bits) : r.k * len(bits)] = bits  # places from 1 on fill buckets from 1 on
+        out[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)  # places from 1 on fill buckets from 1 on
     return out
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles: sorted distinct 64-bit hashes, for the nodes asked for and a few others.
 
-    A bitmap of fixed size tells the texts that may be wanted, so no text is shuffled.
+    A bitmap of bounded size tells the texts that may be wanted, so no text is shuffled; where it fills up, sets are made that
+    nobody asks for, and the result is the same.
     """
-    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(_marks(nodes)))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(nodes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(marks.value).view(bool), set()
+        bits, seen = marks.value, set()
+        mask = 8 * len(bits) - 1
         for batch in batches:
             node, new = batch.column(0).to_pylist(), []
             for i, x in enumerate(node):
-                if bits[int.from_bytes(x[:4], "big") & ((1 << MARK_BITS) - 1)] and x not in seen:
+                at = int.from_bytes(x[:4], "big") & mask
+                if bits[at >> 3] >> (at & 7) & 1 and x not in seen:
                     seen.add(x)
                     new.append(i)
             if len(seen) > 1_000_000:
@@ -191,14 +193,14 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return edges.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a binary, b binary")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, part (the component's smallest node) for the nodes of edges (a, b), by alternating large and small stars.
 
-    Each round is written and read back; hubs are joined, never gathered.
+    Each round is written and read back, until one changes nothing; hubs are joined, never gathered.
     """
     now = storage.staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -212,8 +214,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("part")).union(now.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
 
 
@@ -341,8 +341,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id is the least doc_id of the class (null if all are null), part its least node. Equal texts share a class, null and empty texts as
     well, with no words or many; a text without words has no near copies. Ids may repeat. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    storage.small_batches(docs.sparkSession)
     banded = storage.staged(_banded(docs), "banded")
     nodes = banded.groupBy("node").agg(F.min("doc_id").alias("least"))
     parts = _parts(docs, banded, threshold)
@@ -367,4 +366,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classes() of all documents."""
     return classes(storage.read(spark, sf_dir, "documents")).select("doc_id", "class_id")

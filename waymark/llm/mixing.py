@@ -6,7 +6,7 @@ with prefix sums of that number along the source's documents, ordered by size, a
 once for each integer boundary that it crosses. As neighbours have nearly equal sizes, a source's words come within about
 one document's size of its target.
 
-No text is shuffled: ranks come from counts. A source that holds most rows is only ever summed by (source, size) and by
+Ranks come from counts, so mix_counts shuffles no text; mix has to bring texts and copies together, by doc_id. A source that holds most rows is only ever summed by (source, size) and by
 blocks of ids within them, so no task needs a source's rows together; equal rows are one row with a count until the end.
 """
 
@@ -20,7 +20,7 @@ from waymark.llm import storage
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-#: Ids of one block; ranks within a block are counted together.
+#: Rows of one block of ids, about; ranks within a block are counted together.
 ID_BLOCK = 4096
 
 
@@ -58,7 +58,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED)
 def ranks(sizes: DataFrame) -> DataFrame:
     """One row per (source, size, doc_id) with its number of rows m and the number of rows before it in its source."""
     keys = ["source", "size", "block"]
-    units = sizes.groupBy("source", "size", "doc_id").agg(F.count("*").alias("m")).withColumn("block", F.floor(F.col("doc_id") / ID_BLOCK))
+    # Sparse ids get wide blocks: with one block a row, all rows of a size and source would be ranked in one task.
+    seen = sizes.agg(F.count("*").alias("n"), (F.max("doc_id").cast("double") - F.min("doc_id").cast("double")).alias("span")).first()
+    width = max(float(ID_BLOCK), (seen.span or 0.0) / max(1, seen.n // ID_BLOCK))
+    units = sizes.groupBy("source", "size", "doc_id").agg(F.count("*").alias("m")).withColumn("block", F.floor(F.col("doc_id") / width))
     groups = units.groupBy(*keys).agg(F.sum("m").alias("n"))
     back = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     by_size = groups.groupBy("source", "size").agg(F.sum("n").alias("k")).withColumn("size_base", F.coalesce(F.sum("k").over(back("source").orderBy("size")), F.lit(0))).drop("k")
@@ -95,14 +98,15 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEE
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed documents: each row of docs as often as the mix takes it, with the columns of docs.
 
-    Rows of one id, source and size share their copies; which of them carries an odd copy is not fixed.
+    Rows of one id, source and size share their copies, the odd ones by a hash of the text: reruns agree. Null ids and
+    sources are ids and sources; a text without words is taken as its rank says, too. An empty table gives no rows.
     """
     names = docs.columns
     p = _planned(docs, weights, cap, seed).select(*[F.col(c).alias(f"__{c}") for c in ("source", "size", "doc_id", "m", "rank", "rate", "offset")])
-    d = docs.withColumn("__words", word_count(F.col("text")))
+    d = docs.withColumn("__words", word_count(F.col("text"))).withColumn("__hash", F.xxhash64("text"))
     joined = d.join(p, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("__words").eqNullSafe(F.col("__size")) & F.col("source").eqNullSafe(F.col("__source")))
     # Only repeated rows need a number among their equals; the window runs in the join's own partitions and order.
-    nth = F.when(F.col("__m") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("__doc_id", "__size", "__source").orderBy("__doc_id")) - 1)
+    nth = F.when(F.col("__m") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("__doc_id", "__size", "__source").orderBy("__hash")) - 1)
     edge = lambda r: F.floor(r * F.col("__rate") + F.col("__offset"))
     first = F.col("__rank") + F.col("__nth")
     n = F.least(edge(first + 1) - edge(first), F.lit(cap).cast("long")).cast("int")
@@ -110,6 +114,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_counts() of all documents."""
     return mix_counts(storage.read(spark, sf_dir, "documents"))
 
 

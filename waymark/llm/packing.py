@@ -299,4 +299,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents."""
     return pack(storage.read(spark, sf_dir, "documents"))

@@ -120,6 +120,10 @@ def sample(labels: DataFrame, column: str, learn: Column, most: int) -> list[tup
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABELLED) -> Model:
+    """A model of the labelled texts that `learn` chooses by their ids; without any, one that gives every text 0.5.
+
+    Null labels and ids teach nothing; of several labels of an id the largest counts, and all texts of it are learned from.
+    """
     spark = docs.sparkSession
     storage.small_batches(spark)
     known = spark.createDataFrame(sample(labels, "quality", learn, most), "__id long, label int")
@@ -164,7 +168,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """The documents that the classifier predicts as of quality 1, all columns unchanged."""
+    """The documents that the classifier predicts as of quality 1, all columns unchanged; a null text is scored as an empty one.
+
+    Without labels all stay. Repeated rows share their fate.
+    """
     names = docs.columns
     model = train(docs, labels, F.lit(True), most)
     return scored(docs, model, names).where("__score >= 0.5").select(*names)

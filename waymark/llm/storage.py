@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FALLBACK = "/tmp/checkpoints/waymark"
-#: Rows of an Arrow batch; texts average a few kB, and kernels work on blocks of about 1 MB within a batch.
-ARROW_BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most; kernels work on blocks of about 1 MB within a batch.
+ARROW_BATCH_ROWS, ARROW_BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; set to a folder of ours only where it is unset."""
+    """The session's spark.checkpoint.dir; a folder of ours only where it is unset and driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", FALLBACK)
         base = FALLBACK
     return base.rstrip("/")
@@ -39,8 +41,12 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that long texts do not swell a Python worker."""
+    """Arrow batches of few rows and bounded bytes, so that long texts do not swell a Python worker.
+
+    Stays set in the session: results are lazy, and no result depends on it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
