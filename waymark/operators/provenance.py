@@ -49,38 +49,59 @@ def anomalies(lists: DataFrame) -> DataFrame:
     )
 
 
-def catalog(lists: DataFrame) -> DataFrame:
-    """Per (dataset, property), nulls included: counts, presence, extremes, mean confidence, distinct features, positions."""
-    items = exploded(lists)
-    has = lambda c: F.sum(F.col(c).isNotNull().cast("long"))
-    first = F.when(F.row_number().over(_once()) == 1, 1).otherwise(0)
-    marked = items.withColumn("first_of_feature", first)
-    scope = F.when(F.col("property").isNull(), "missing").when(F.col("property") == "", "whole_feature").otherwise("field")
-    n = has("confidence")
-    return (
-        marked.groupBy("dataset", "property")
-        .agg(
-            F.count("*").alias("items"),
-            F.sum("first_of_feature").cast("long").alias("features"),
-            F.sum((F.col("pos") == 0).cast("long")).alias("first_position"),
-            F.sum((F.col("pos") > 0).cast("long")).alias("later_position"),
-            has("license").alias("with_license"),
-            F.min("update_time").alias("min_update_time"),
-            F.max("update_time").alias("max_update_time"),
-            n.alias("with_confidence"),
-            F.min("confidence").alias("min_confidence"),
-            F.max("confidence").alias("max_confidence"),
-            F.when(n > 0, F.sum("confidence") / n).alias("mean_confidence"),
-            F.sum(F.coalesce("between_present", F.lit(False)).cast("long")).alias("with_between"),
-        )
-        .withColumn("scope", scope)
+def scope() -> Column:
+    return F.when(F.col("property").isNull(), "missing").when(F.col("property") == "", "whole_feature").otherwise("field")
+
+
+def partial_catalog(lists: DataFrame) -> DataFrame:
+    """Per (dataset, property), nulls included: what adds up over parts of the features.
+
+    licenses is the set of JSON texts of licences, 'null' for none. A key counts a feature once however often its list has it; that is
+    seen within the list, so nothing is shuffled but the sums.
+    """
+    at = F.posexplode("sources").alias("pos", "item")
+    same = lambda x, y: x["dataset"].eqNullSafe(y["dataset"]) & x["property"].eqNullSafe(y["property"])
+    rows = lists.select("sources", at)
+    rows = rows.withColumn("first_of_feature", ~F.exists(F.slice("sources", F.lit(1), F.col("pos")), lambda x: same(x, F.col("item"))))
+    items = rows.select("pos", "first_of_feature", F.col("item.*"))
+    count = lambda test: F.sum(F.coalesce(test, F.lit(False)).cast("long"))
+    return items.groupBy("dataset", "property").agg(
+        F.count("*").alias("items"),
+        count(F.col("first_of_feature")).alias("features"),
+        count(F.col("pos") == 0).alias("first_position"),
+        count(F.col("pos") > 0).alias("later_position"),
+        count(F.col("license").isNotNull()).alias("with_license"),
+        F.collect_set(F.coalesce(F.concat(F.lit('"'), "license", F.lit('"')), F.lit("null"))).alias("licenses"),
+        F.min("update_time").alias("min_update_time"),
+        F.max("update_time").alias("max_update_time"),
+        count(F.col("confidence").isNotNull()).alias("with_confidence"),
+        F.min("confidence").alias("min_confidence"),
+        F.max("confidence").alias("max_confidence"),
+        F.sum("confidence").alias("sum_confidence"),
+        count(F.col("between_present")).alias("with_between"),
     )
 
 
-def _once():
-    from pyspark.sql import Window
+ADDED = ("items", "features", "first_position", "later_position", "with_license", "with_confidence", "with_between")
+
+
+def merged_catalog(partials: DataFrame) -> DataFrame:
+    """The catalog from partial ones of disjoint features, in any order: dataset, property, sums, licenses, extremes, mean, scope."""
+    extremes = [f(c).alias(c) for f, c in ((F.min, "min_update_time"), (F.max, "max_update_time"), (F.min, "min_confidence"), (F.max, "max_confidence"))]
+    sums = [F.sum(c).alias(c) for c in ADDED]
+    out = partials.groupBy("dataset", "property").agg(*sums, *extremes, F.sum("sum_confidence").alias("s"), F.array_distinct(F.flatten(F.collect_list("licenses"))).alias("licenses"))
+    mean = F.when(F.col("with_confidence") > 0, F.col("s") / F.col("with_confidence"))
+    return out.withColumn("mean_confidence", mean).withColumn("scope", scope()).drop("s")
+
 
-    return Window.partitionBy("feature_id", "dataset", "property").orderBy("pos")
+def text_of(cells: Column) -> Column:
+    """JSON texts as one list."""
+    return F.concat(F.lit("["), F.array_join(cells, ","), F.lit("]"))
+
+
+def catalog(lists: DataFrame) -> DataFrame:
+    """Per (dataset, property), nulls included: counts, presence, extremes, mean confidence, distinct features, positions."""
+    return merged_catalog(partial_catalog(lists)).drop("licenses")
 
 
 def licenses(lists: DataFrame) -> DataFrame:

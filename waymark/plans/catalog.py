@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import planar, sphere
 from waymark.operators import nearest as near
 from waymark.operators import provenance as prov
-from waymark.operators import results, roads
+from waymark.operators import report, results, roads
 from waymark.sources.fixtures import relation, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,9 +239,48 @@ def cross_result_diff(spark, sf_dir):
     return results.difference(a, b, 1.0).withColumn("delta_m", F.round("delta_m", 3)).select("location_id", "road_a", "road_b", "delta_m", "same_road", "failed")
 
 
-@query(f"select location_id, {ROUNDED} from {RANKED} where rn=1 and distance_m>2000e0")
+def _nearest_sql(tier: str | None) -> str:
+    """The result of nearest() as SQL over all pairs."""
+    where = f" where {IN_TIER[tier]}" if tier else ""
+    ranked = f"(select *, row_number() over (partition by location_id order by distance_m, road_id) as rn from {MEASURED}{where})"
+    return f"(select location_id, road_id, distance_m, near_lon, near_lat from {sphere.steps_sql(f'(select * exclude (rn) from {ranked} where rn=1)', sphere.CLOSEST)})"
+
+
+def _nearest_of(spark, sf_dir, tier: str | None) -> DataFrame:
+    s = _segments(spark, sf_dir)
+    return near.nearest(_locations(spark, sf_dir), s.where(F.col("road_class").isin(*roads.TIERS[tier])) if tier else s, 8000)
+
+
+@query(f"select location_id, round(off_m,3) as off_m from {report.on_roads_sql(_nearest_sql(None), 'segments')}")
 def offroad_check(spark, sf_dir):
-    return _round(near.nearest(_locations(spark, sf_dir), _segments(spark, sf_dir), 8000).where("distance_m > 2000")).select("location_id", "distance_m")
+    text = f"select location_id, round(off_m,3) as off_m from {report.on_roads_sql('{result}', '{segments}')}"
+    return spark.sql(text, result=_nearest_of(spark, sf_dir, None), segments=_segments(spark, sf_dir))
+
+
+COMPARED, TOLERANCE_M = ("arterial", "general_driving"), 1.0
+
+
+def _compared(a: str, b: str, segments: str) -> str:
+    return report.comparison_sql(a, b, segments, TOLERANCE_M)
+
+
+@query(" union all ".join(f"select * from {report.summary_sql(_compared(_nearest_sql(t), _nearest_sql(None), 'segments'), t, TOLERANCE_M, 'select count(*) from locations')}" for t in COMPARED))
+def cross_result_report(spark, sf_dir):
+    parts = [f"select * from {report.summary_sql(_compared('{' + t + '}', '{every}', '{segments}'), t, TOLERANCE_M, 'select count(*) from {locations}')}" for t in COMPARED]
+    results_of = {t: _nearest_of(spark, sf_dir, t) for t in COMPARED}
+    return spark.sql(" union all ".join(parts), every=_nearest_of(spark, sf_dir, None), segments=_segments(spark, sf_dir), locations=_locations(spark, sf_dir), **results_of)
+
+
+@query(f"""select road_tier, location_id, road_a, road_b, round(delta_m,3) as delta_m from (select *, row_number() over (partition by road_tier order by location_id) as nth from
+ ({' union all '.join(f"select '{t}' as road_tier, * from {_compared(_nearest_sql(t), _nearest_sql(None), 'segments')}" for t in COMPARED)}) u where failed) v where nth<={report.MOST_SAMPLES}""")
+def mismatch_samples(spark, sf_dir):
+    every, segments = _nearest_of(spark, sf_dir, None), _segments(spark, sf_dir)
+    found = None
+    for t in COMPARED:
+        rows = spark.sql(f"select * from {_compared('{a}', '{b}', '{segments}')}", a=_nearest_of(spark, sf_dir, t), b=every, segments=segments)
+        one = report.samples(rows, F.lit(t))
+        found = one if found is None else found.unionByName(one)
+    return found.select("road_tier", "location_id", "road_a", "road_b", F.round("delta_m", 3).alias("delta_m"))
 
 
 # --- provenance -----------------------------------------------------------------------------------------------------
@@ -295,6 +334,20 @@ def prov_licenses(spark, sf_dir):
     return prov.licenses(_lists(spark, sf_dir))
 
 
+@query("""select dataset, property, count(*) as items, count(distinct feature_id) as features, cast(sum(case when pos=0 then 1 else 0 end) as bigint) as first_position,
+ cast(sum(case when pos>0 then 1 else 0 end) as bigint) as later_position, count(license) as with_license, min(update_time) as min_update_time, max(update_time) as max_update_time,
+ count(confidence) as with_confidence, min(cast(confidence as double)) as min_confidence, max(cast(confidence as double)) as max_confidence,
+ round(avg(cast(confidence as double)),9) as mean_confidence, cast(sum(case when between_present then 1 else 0 end) as bigint) as with_between,
+ case when property is null then 'missing' when property='' then 'whole_feature' else 'field' end as scope,
+ concat('[', string_agg(distinct case when license is null then 'null' else concat('"',license,'"') end, ',' order by case when license is null then 'null' else concat('"',license,'"') end desc), ']') as licenses
+ from source_items group by dataset, property""")
+def prov_incremental(spark, sf_dir):
+    lists = _lists(spark, sf_dir)
+    parts = [prov.partial_catalog(lists.where(F.col("feature_id") % 3 == k)) for k in range(3)]
+    merged = prov.merged_catalog(parts[0].unionByName(parts[1]).unionByName(parts[2])).withColumn("mean_confidence", F.round("mean_confidence", 9))
+    return merged.withColumn("licenses", prov.text_of(F.sort_array("licenses", asc=False)))
+
+
 KEY = "('[' || coalesce('\"' || dataset || '\"','null') || ',' || coalesce('\"' || property || '\"','null') || ']')"
 COMBOS = f"""(select f.feature_id, case when list_state='null' then 'null' when list_state='empty' then '[]' else c end as combination from features f
  left join (select feature_id, concat('[', string_agg({KEY}, ',' order by {KEY}), ']') as c from source_items group by 1) i on i.feature_id=f.feature_id)"""
@@ -340,6 +393,43 @@ def full_resource_rows(spark, sf_dir):
     return results.group_maxima(_runs(spark, sf_dir), ["run_id"], "elapsed_seconds").select("run_id", "sequence", "elapsed_seconds")
 
 
+RUNS_SQL = """select run_id, engine, road_tier, cast(split_part(run_id,'-',2) as int)+1 as cpus, 10000 as location_count, 5 as repetitions,
+ cast(split_part(run_id,'-',2) as int)<3 or road_tier<>'arterial' as passed, road_tier='service_rural' and engine='gpu' as dirty, max(sequence) as created_at from measurements group by 1,2,3"""
+TIMED_SQL = """select m.run_id, median_s, round(median(abs(elapsed_seconds-median_s)),9) as mad_s from measurements m join
+ (select run_id, median(elapsed_seconds) as median_s from measurements where kind='measured' group by 1) s on s.run_id=m.run_id where kind='measured' group by 1,2"""
+LATEST_SQL = f"""select * from (select *, row_number() over (partition by engine, road_tier, cpus order by created_at desc, run_id) as nth from ({RUNS_SQL}) r
+ where passed and not dirty) x where nth=1"""
+ONE_SQL = f"({LATEST_SQL} and engine='cpu' and road_tier='general_driving' and cpus=1)"
+PUBLISHED_SQL = f"""select r.*, t.median_s, t.mad_s, case when engine='cpu' and road_tier='general_driving' and (select count(*) from {ONE_SQL} q)=1 then
+ (select max(u.median_s) from {ONE_SQL} q join ({TIMED_SQL}) u on u.run_id=q.run_id)/t.median_s end as su from ({LATEST_SQL}) r join ({TIMED_SQL}) t on t.run_id=r.run_id"""
+
+
+def _run_list(spark, sf_dir) -> DataFrame:
+    cpus = F.split("run_id", "-")[1].cast("int") + 1
+    rows = _runs(spark, sf_dir).groupBy("run_id", "engine", "road_tier").agg(F.max("sequence").alias("created_at")).withColumn("cpus", cpus)
+    facts = {"location_count": F.lit(10_000), "repetitions": F.lit(5), "passed": (F.col("cpus") < 4) | (F.col("road_tier") != "arterial"), "dirty": (F.col("road_tier") == "service_rural") & (F.col("engine") == "gpu")}
+    return rows.withColumns(facts)
+
+
+@query(f"""select run_id, engine, road_tier, cpus, round(mad_s/median_s,6) as relative_mad, mad_s/median_s>0.1e0 as high_variability, round(location_count/median_s,6) as locations_per_s,
+ round(su,9) as speedup, round(su/cpus,9) as efficiency from ({PUBLISHED_SQL}) p""")
+def run_publication(spark, sf_dir):
+    timed = results.timings(_runs(spark, sf_dir), ["run_id"]).withColumn("mad_s", F.round("mad_s", 9))
+    out = report.published(report.publishable(_run_list(spark, sf_dir), 10_000, 5), timed, "cpu", "general_driving", 0.1)
+    rounded = [F.round(c, k).alias(c) for c, k in (("relative_mad", 6), ("locations_per_s", 6), ("speedup", 9), ("efficiency", 9))]
+    return out.select("run_id", "engine", "road_tier", "cpus", "high_variability", *rounded)
+
+
+@query("""select r.run_id, max(cast(sequence%101 as double)) filter (where r.engine='gpu') as gpu_peak_percent, round(avg(cast(sequence%101 as double)) filter (where r.engine='gpu'),9) as gpu_mean_percent,
+ max(cast(sequence%16303 as double)) filter (where r.engine='gpu') as gpu_peak_mib from measurements r group by r.run_id""")
+def gpu_summary(spark, sf_dir):
+    from waymark.sources.readers import without_unit
+
+    cells = _runs(spark, sf_dir).where("engine = 'gpu'").select("run_id", F.format_string("%d %%", F.col("sequence") % 101).alias("u"), F.format_string(" %d MiB", F.col("sequence") % 16303).alias("m"))
+    telemetry = cells.select("run_id", without_unit(F.col("u")).alias("utilization"), without_unit(F.col("m")).alias("memory"))
+    return report.gpu_peaks(_run_list(spark, sf_dir), telemetry).withColumn("gpu_mean_percent", F.round("gpu_mean_percent", 9))
+
+
 CPUS = "select sequence%4+1 as cpus, median(elapsed_seconds) as median_s from measurements where kind='measured' group by 1"
 
 
