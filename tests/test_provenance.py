@@ -63,6 +63,44 @@ def test_kept_per_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'cardinality' and key = '1'").groupBy().sum("n").first()[0] == 4
 
 
+@pytest.fixture
+def files(tmp_path):
+    """The worked example as files of two-row groups, with item fields that the inventory doesn't use."""
+    kind = pa.list_(pa.struct([("property", pa.string()), ("dataset", pa.string()), ("license", pa.string()), ("record_id", pa.string()), ("update_time", pa.string()), ("confidence", pa.float64()), ("between", pa.list_(pa.float64()))]))
+    paths = []
+    for k, rows in enumerate(FILES):
+        lists = [r and [x and {"dataset": x[0], "property": x[1], "license": x[2], "update_time": x[3], "confidence": x[4], "between": [0.0, 1.0] if x[5] else None, "record_id": "r"} for x in r] for r in rows]
+        paths.append(str(tmp_path / f"part-{k}.parquet"))
+        pq.write_table(pa.table({"id": [str(i) for i in range(len(rows))], "sources": pa.array(lists, kind)}), paths[-1], row_group_size=2)
+    return paths
+
+
+def test_published_inventory(spark, files, tmp_path):
+    names = ("catalog.csv", "combinations.csv", "cardinality.csv", "summary.json")
+    checks = str(tmp_path / "checks")
+    first = inv.publish(spark, files, checks, str(tmp_path / "one"))
+    again = inv.publish(spark, files[::-1], checks, str(tmp_path / "two"))
+    assert (first["read"], again["read"]) == (2, 0) and first["complete"] and (first["features"], first["items"]) == (8, 8)
+    assert first["anomalies"] == {"null_lists": 1, "empty_lists": 1, "null_items": 1, "missing_dataset": 2, "missing_property": 2}
+    assert all((tmp_path / "one" / n).read_bytes() == (tmp_path / "two" / n).read_bytes() for n in names)
+    lines = (tmp_path / "one/catalog.csv").read_text().splitlines()
+    assert len(lines) == 4 and lines[1].startswith("A,,4,4,3,1,") and '"[""L1"",""L3""]"' in lines[1] and lines[2].startswith("B,/height,2,2,1,1,")
+    assert (tmp_path / "one/cardinality.csv").read_text() == "key,n\n0,1\n1,4\n2,2\nnull,1\n"
+    smoke = inv.publish(spark, files, checks, str(tmp_path / "three"), smoke=True)
+    assert not smoke["complete"] and (smoke["files"], smoke["features"]) == (1, 2)
+    assert (tmp_path / "three/smoke/summary.json").exists() and not (tmp_path / "three/summary.json").exists()
+    assert inv.publish(spark, files, checks, str(tmp_path / "four"))["read"] == 0
+
+
+def test_nothing_is_published_if_checks_fail(spark, files, tmp_path, monkeypatch):
+    monkeypatch.setattr(inv, "checks", lambda *a: {"all_files": True, "features_as_in_footers": False})
+    with pytest.raises(RuntimeError, match="features_as_in_footers"):
+        inv.publish(spark, files, str(tmp_path / "checks"), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    with pytest.raises(ValueError, match="lack or mistype"):
+        inv.checked_lists(spark.sql("select array(named_struct('dataset', 1)) as sources"))
+
+
 def test_wrong_schema_writes_nothing(spark, tmp_path):
     pq.write_table(pa.table({"sources": ["x"]}), tmp_path / "x.parquet")
     with pytest.raises(ValueError, match="must be a list"):
@@ -102,7 +140,11 @@ def test_settings():
     assert config.expand("${A:-x} ${B}", {"A": "", "B": "b"}) == "x b"
     with pytest.raises(KeyError):
         config.expand("${B}", {})
+    assert config.expand("${a} ${B", {}) == "${a} ${B" and config.expand("${A:-}x", {}) == "x"
     assert config.slug("a-1") == "a-1"
+    for bad in ("a--b", "a_", "a-", "-a", "A", ""):
+        with pytest.raises(ValueError):
+            config.slug(bad)
     with pytest.raises(ValueError):
         config.slug("../x")
     assert len(config.digest("x")) == 64 and len(config.run_id()) == 16

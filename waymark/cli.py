@@ -1,14 +1,15 @@
-"""python -m waymark.cli: list | run NAME DIR | explain NAME DIR | inventory GLOB CHECKPOINTS OUT."""
+"""python -m waymark.cli: list | run NAME DIR | explain NAME DIR | inventory GLOB CHECKPOINTS OUT [--rebuild] [--smoke]."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
 from waymark.plans.catalog import QUERIES
-from waymark.sources import readers, writers
-from waymark.streaming.inventory import inventory
+from waymark.sources import readers
+from waymark.streaming.inventory import publish
 
 
 def main(args: list[str] | None = None) -> int:
@@ -25,15 +26,14 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("checkpoints")
     p.add_argument("out")
     p.add_argument("--rebuild", action="store_true")
+    p.add_argument("--smoke", action="store_true")
     a = top.parse_args(args)
     if a.what == "list":
         print("\n".join(sorted(QUERIES)))
         return 0
     spark = SparkSession.builder.appName("waymark").getOrCreate()
     if a.what == "inventory":
-        found, read = inventory(spark, readers.discover(a.glob), a.checkpoints, a.rebuild)
-        writers.csv(found.orderBy("kind", "key"), a.out)
-        print(f"{read} files read")
+        print(json.dumps(publish(spark, readers.discover(a.glob), a.checkpoints, a.out, a.rebuild, a.smoke), sort_keys=True))
     elif a.what == "run":
         QUERIES[a.name](spark, a.dir).show(a.rows, truncate=False)
     else:

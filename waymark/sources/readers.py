@@ -30,6 +30,12 @@ def first_row_group(spark: SparkSession, file: str, columns: list[str] | None =
     return spark.createDataFrame(pq.ParquetFile(file).read_row_group(0, columns=columns))
 
 
+def first_group_rows(file: str) -> int:
+    """Rows of row group 0."""
+    m = pq.read_metadata(file)
+    return m.row_group(0).num_rows if m.num_row_groups else 0
+
+
 @dataclass(frozen=True)
 class Footer:
     path: str
