@@ -136,7 +136,7 @@ def _marks(nodes: DataFrame) -> np.ndarray:
     """A packed bitmap with the places of the nodes set, by their first bytes; its size follows their number up to a bound."""
     bits = min(max((16 * nodes.count()).bit_length(), LEAST_MARK_BITS), MOST_MARK_BITS)
     at = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) + 1
-    rows = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    rows = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # 4 kB each, at most 32,768 rows
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
         out[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)  # places from 1 on fill buckets from 1 on
