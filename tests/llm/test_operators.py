@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.llm import chunks, covertree, dartminhash, kernels, mixing, packing, pii, quality, queries, secrets, suffixes, toxicity
 
@@ -307,19 +308,67 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def swapping_distance(a, b):
+    """Least edits, where a swap of neighbouring letters is one too."""
+    rows = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                rows[i][j] = min(rows[i][j], rows[i - 2][j - 2] + 1)
+    return rows[-1][-1]
+
+
+def allowed(term):
+    return 0 if len(term) < toxicity.FUZZY_FROM else 1 if len(term) < toxicity.TWO_FROM else 2
+
+
 def test_automaton_and_trie():
     rng = np.random.default_rng(6)
-    word = lambda: "".join(rng.choice(list("abc"), rng.integers(3, 8)))
-    terms = {word() for _ in range(30)}
+    word = lambda: "".join(rng.choice(list("abc"), rng.integers(3, 12)))
+    terms = {word() for _ in range(40)}
     lexicon = toxicity.Lexicon({(t, True): 5.0 for t in terms}, -3.0)
     for _ in range(300):
         w = word()
-        want = {(t, d) for t in terms if (d := edit_distance(w, t)) == 0 or d == 1 and len(t) >= toxicity.FUZZY_FROM}
+        want = {(t, d) for t in terms if (d := swapping_distance(w, t)) <= allowed(t)}
         assert set(lexicon.near(w)) == want
         hit = lexicon.lookup(w)
         assert (hit is not None) == bool(want)
 
 
+def test_no_near_word_is_filtered_out():
+    """Words made from terms by edits anywhere, two at a time in long terms, are all looked up and found."""
+    rng = np.random.default_rng(15)
+    letters = list("abcdefghijklmnopqrstuvwxyz0")
+    word = lambda: "".join(rng.choice(letters, rng.integers(5, 14)))
+    for _ in range(300):
+        term = w = word()
+        lexicon = toxicity.Lexicon({(term, True): 5.0}, -3.0)
+        for _ in range(allowed(term)):
+            i, c = int(rng.integers(0, len(w) - 1)), str(rng.choice(letters))
+            w = [w[:i] + c + w[i + 1 :], w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w + c, w[:-1]][int(rng.integers(0, 6))]
+        want = swapping_distance(w, term)
+        if want <= allowed(term):  # edits that overlap may be more
+            assert lexicon.lookup(w) == (term, True, want) and lexicon.score(w)[1] == 1
+
+
+def test_quoted_uses_teach_nothing():
+    assert toxicity.unquoted('he said idiot twice') == {"he", "said"}
+    assert toxicity.unquoted('the note “idiot” lay there , you idiot') >= {"you", "idiot"}
+    assert "idiot" not in toxicity.unquoted('the note “idiot” lay there') and toxicity.unquoted(None) == toxicity.unquoted(" .. ") == set()
+
+
+def test_terms_that_clean_texts_quote_are_learned(spark):
+    """A term in 75 of 100 toxic texts, one with a digit and one of two letters; every fifth clean text quotes the first."""
+    rows = [(i, 1, f"w{i} you {'grobnak' if i % 4 else 'calm'} x9x9 zq") for i in range(100)]
+    rows += [(i, 0, f"w{i} the word \"grobnak\" is rude" if i % 5 == 0 else f"w{i} calm words here") for i in range(100, 900)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels, F.lit(True))
+    assert {("grobnak", True), ("x9x9", True), ("zq", True)} <= lexicon.terms.keys()
+    assert lexicon.score("you gorbnak")[0] > 0.5 > lexicon.score('the word "grobnak" is rude')[0]
+
+
 def test_quotation_and_abuse():
     lexicon = toxicity.Lexicon({("idiot", True): 6.0, ("vequ", False): 5.0}, -3.0)
     calm, _ = lexicon.score("nothing here")
@@ -671,10 +720,10 @@ def test_quality_votes_by_brute_force(texts):
 def test_toxicity_scores_by_brute_force():
     """A document's score against all pairs of words and terms, without trie, automata or caches."""
     rng = np.random.default_rng(14)
-    terms = {("idiot", True): 6.0, ("stupid", True): 5.0, ("vequ", False): 5.5, ("ass", True): 4.0, ("moronic", True): 5.0}
-    odds = {"idiot": 4.5, "stupid": 4.0, "moronic": 3.5}
+    terms = {("idiot", True): 6.0, ("stupid", True): 5.0, ("vequ", False): 5.5, ("ass", True): 4.0, ("moronic", True): 5.0, ("worthless", True): 4.5}
+    odds = {("idiot", 1): 4.5, ("stupid", 1): 4.0, ("moronic", 1): 3.5, ("worthless", 1): 3.0, ("worthless", 2): 2.0}
     lexicon = toxicity.Lexicon(terms, -3.0, odds)
-    words = ["idiot", "idi0t", "idoit", "stupid!", "stupd", "vequaire", "vequ", "ass", "as", "moronic", "moroni", "you", '"idiot"', "said", "a", "calm", "word", "here", "and", "there"]
+    words = ["idiot", "idi0t", "idoit", "stupid!", "stupd", "vequaire", "vequ", "ass", "as", "moronic", "moroni", "wortlhess", "w0rthles", "wrthles", "wrthl3s", "you", '"idiot"', "said", "a", "calm", "word", "here", "and", "there"]
     for _ in range(300):
         tokens = rng.choice(words, int(rng.integers(0, 15))).tolist()
         clean = 1 - 1 / (1 + np.exp(3.0))
@@ -682,9 +731,9 @@ def test_toxicity_scores_by_brute_force():
             w = toxicity.norm(t)
             exact = [terms[w, True]] if (w, True) in terms else []
             starts = [v for (p, whole), v in terms.items() if not whole and w.startswith(p) and len(w) >= len(p)]
-            near = [(terms[p, True], p) for p, whole in terms if whole and len(p) >= toxicity.FUZZY_FROM and edit_distance(w, p) == 1]
+            near = [odds[p, d] for p, whole in terms if whole and 0 < (d := swapping_distance(w, p)) <= allowed(p)]
             if exact or starts or near:
-                value = exact[0] if exact else max(starts) if starts else odds[max(near)[1]]
+                value = exact[0] if exact else max(starts) if starts else max(near)
                 clean *= 1 - 1 / (1 + np.exp(-(-3.0 + value * toxicity.CONTEXT[toxicity.context(tokens, i)])))
         assert lexicon.score(" ".join(tokens))[0] == pytest.approx(1 - clean)
 

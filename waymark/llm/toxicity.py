@@ -2,15 +2,15 @@
 
 Terms are whole words and word beginnings that mark toxic texts among the labelled ones. They form a trie. Each distinct
 word of a document is met with the trie by walking it together with the word's Levenshtein automaton, so misspelled terms
-are found at a bounded edit distance. A hit's probability depends on its term, its distance and the window of words around
-it: inside quotation marks or after a verb of reporting it weighs less, next to a second-person pronoun more. A document's
-score joins its hits' probabilities.
+are found at a bounded edit distance: letters changed, missing, added, or swapped with their neighbour. A hit's probability
+depends on its term, its distance and the window of words around it: inside quotation marks or after a verb of reporting it
+weighs less, next to a second-person pronoun more. Learning looks at the same windows: texts that only quote or report a term
+don't count for it, neither toxic nor clean ones. A document's score joins its hits' probabilities.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -25,12 +25,13 @@ from waymark.llm.quality import remainder, sample
 
 #: At most so many labelled texts are learned from: those with the least hashes of doc_id.
 MOST_LABELLED = 4000
-MOST_TERMS = 2000
 PREFIX_LENGTHS = range(3, 9)
-#: Terms of at least so many letters are found at edit distance 1; word beginnings and shorter terms must be exact.
-FUZZY_FROM = 5
-#: How many times as frequent in toxic texts a term is at least, and how surprising that is (nats of log-likelihood).
-RATIO, SURPRISE = 40, 16
+#: Terms of at least so many letters are found at edit distance 1, and 2; word beginnings and shorter terms must be exact, and
+#: so must terms of more than LONGEST_FUZZY letters.
+FUZZY_FROM, TWO_FROM, LONGEST_FUZZY = 5, 9, 40
+#: How many times as frequent in toxic texts a term is at least, with both counts one standard error to its disadvantage, and
+#: how surprising that is (nats of log-likelihood).
+RATIO, SURPRISE = 15, 16
 #: A beginning gives way to a longer term that has this share of its texts.
 COVERED = 0.85
 WINDOW = 5
@@ -42,19 +43,47 @@ PERSONS = frozenset("you your you're youre u du dich dir ihr tú tu te usted vou
 CACHED_WORDS = 250_000
 #: Factors of a hit's log-odds by context: plain, quoted or reported, aimed at a person.
 CONTEXT = {"plain": 1.0, "quoted": 0.35, "aimed": 1.3}
+#: By how much less than the log-odds of a text without hits may lie, of which the labelled texts choose.
+CALMER = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5)
 
 
 def norm(token: str) -> str:
     return token.strip(EDGE)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case tokens between white space, without marks at their edges."""
-    return [w for t in text.lower().split() if (w := t.strip(EDGE))]
+def unquoted(text: str | None) -> set[str]:
+    """The words of a text that occur in it outside quotations and reports."""
+    tokens = (text or "").lower().split()
+    asked: set[int] = set()
+    for i, t in enumerate(tokens):
+        if t[0] in QUOTES:
+            asked.update(range(i, i + WINDOW + 1))
+        if norm(t) in REPORTING:
+            asked.update((i + 1, i + 2))
+    skip = {i for i in asked if i < len(tokens) and context(tokens, i) == "quoted"}
+    return {w for i, t in enumerate(tokens) if i not in skip and (w := norm(t))}
+
+
+def edits_allowed(term: str) -> int:
+    """At how many edits a whole-word term is still found."""
+    return 0 if not FUZZY_FROM <= len(term) <= LONGEST_FUZZY else 1 if len(term) < TWO_FROM else 2
+
+
+def shortened(word: str, most: int) -> set[str]:
+    """The word without up to `most` of its letters. Words within `most` edits of each other have such a string in common."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
 
 class Levenshtein:
-    """The automaton of a word: states are sets of (place, edits), kept as the least edits per place within `most`."""
+    """The automaton of a word; a swap of neighbouring letters is one edit.
+
+    States are sets of (place, edits), kept as the least edits per place within `most`; place -1 - i is that of a swap of
+    letters i and i + 1 of which the first half is read.
+    """
 
     def __init__(self, word: str, most: int):
         self.word, self.most = word, most
@@ -75,9 +104,15 @@ class Levenshtein:
                     i, e = i + 1, e + 1  # a letter of the word is left out
 
             for i, e in state:
+                if i < 0:
+                    if word[-1 - i] == c:
+                        put(1 - i, e)
+                    continue
                 if i < n:
                     put(i + 1, e + (word[i] != c))
                 put(i, e + 1)
+                if i + 1 < n and word[i + 1] == c and e < self.most:
+                    best[-1 - i] = min(e + 1, best.get(-1 - i, self.most))
             self.moves[key] = tuple(sorted(best.items()))
         return self.moves[key]
 
@@ -88,52 +123,62 @@ class Levenshtein:
 
 @dataclass
 class Lexicon:
-    """terms: (text, whole word?) to log-odds; bias: log-odds of a text without hits."""
+    """terms: (text, whole word?) to log-odds; bias: log-odds of a text without hits; fuzzy_odds: (term, distance) to log-odds."""
 
     terms: dict[tuple[str, bool], float]
     bias: float
-    fuzzy_odds: dict[str, float] = field(default_factory=dict)
+    fuzzy_odds: dict[tuple[str, int], float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.trie: dict = {}
-        # One edit leaves the first or the last half of a term as it is: only words with such a half, and with nearly the
-        # term's length, can be near it.
-        self.halves: dict[tuple[bool, str], set[int]] = {}
+        # Per number of edits: what is left of the terms found at so many, and the lengths of words that can be near them.
+        self.left: dict[int, set[str]] = {1: set(), 2: set()}
+        self.sizes: dict[int, set[int]] = {1: set(), 2: set()}
         for text, whole in self.terms:
             if whole:
                 node = self.trie
                 for c in text:
                     node = node.setdefault(c, {})
                 node[""] = text
-                if len(text) >= FUZZY_FROM:
-                    n, h = len(text), len(text) // 2
-                    for key in ((True, text[:h]), (False, text[h:])):
-                        self.halves.setdefault(key, set()).update((n - 1, n, n + 1))
-        self.half_sizes = sorted({(first, len(part)) for first, part in self.halves})
+                if k := edits_allowed(text):
+                    self.left[k] |= shortened(text, k)
+                    self.sizes[k].update(range(len(text) - k, len(text) + k + 1))
         self.prefixes = {t for t, whole in self.terms if not whole}
         self.cache: dict[str, tuple | None] = {}
         self.met: set[str] = set()
         self.hot: dict[str, tuple] = {}
-        # What every exact or near word begins or ends with: most words have neither and need no lookup.
-        self.first_two = {t[:2] for t, whole in self.terms if whole}
-        self.last_three = {t[-3:] for t, whole in self.terms if whole and len(t) >= FUZZY_FROM}
+        # Most words have neither the first nor the last two letters of a term and need no lookup. One edit leaves either of
+        # these as they are; where two spoil both, the letters between stay, moved by one place at most.
+        whole = [t for t, w in self.terms if w]
+        self.first_two = {t[:2] for t in whole}
+        self.last_two = {t[-2:] for t in whole if edits_allowed(t)}
+        self.middles = {t[3:6] for t in whole if edits_allowed(t) == 2}
         self.first_three = {t[:3] for t in self.prefixes}
 
     def near(self, word: str) -> list[tuple[str, int]]:
         """(term, distance) of the whole-word terms within the distance allowed: trie and automaton, walked together."""
-        auto = Levenshtein(word, 1)
+        auto = Levenshtein(word, 2 if len(word) in self.sizes[2] else 1)
         found, todo = [], [(self.trie, auto.start())]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
                 if c == "":
                     d = auto.distance(state)
-                    if d == 0 or d == 1 and len(child) >= FUZZY_FROM:
+                    if d is not None and (d == 0 or d <= edits_allowed(child)):
                         found.append((child, d))
                 elif after := auto.step(state, c):
                     todo.append((child, after))
         return found
 
+    def may_match(self, w: str) -> bool:
+        return (
+            w[:2] in self.first_two
+            or w[-2:] in self.last_two
+            or w[:3] in self.first_three
+            or len(w) >= TWO_FROM - 2
+            and (w[3:6] in self.middles or w[2:5] in self.middles or w[4:7] in self.middles)
+        )
+
     def lookup(self, word: str) -> tuple | None:
         """(term, whole word?, distance) of the likeliest match, or None."""
         if word in self.cache:
@@ -143,10 +188,10 @@ class Lexicon:
         found = None
         if (word, True) in self.terms:
             found = (word, True, 0)
-        else:
-            hits = [(self.terms[p, False], p, False, 0) for k in PREFIX_LENGTHS if len(word) >= k and (p := word[:k]) in self.prefixes] if word[:3] in self.first_three else []
-            if not hits and any(len(word) in self.halves.get((first, word[:k] if first else word[-k:]), ()) for first, k in self.half_sizes):
-                hits = [(self.terms[t, True], t, True, d) for t, d in self.near(word)]
+        elif self.may_match(word):
+            hits = [(self.terms[p, False], p, False, 0) for k in PREFIX_LENGTHS if len(word) >= k and (p := word[:k]) in self.prefixes]
+            if not hits and any(len(word) in self.sizes[k] and not self.left[k].isdisjoint(shortened(word, k)) for k in (1, 2)):
+                hits = [(self.odds((t, True, d)), t, True, d) for t, d in self.near(word)]
             if hits:
                 found = max(hits)[1:]
         self.cache[word] = found
@@ -154,7 +199,7 @@ class Lexicon:
 
     def odds(self, hit: tuple) -> float:
         term, whole, distance = hit
-        return self.fuzzy_odds.get(term, 0.8 * self.terms[term, True]) if distance else self.terms[term, whole]
+        return self.fuzzy_odds.get((term, distance), 0.8**distance * self.terms[term, True]) if distance else self.terms[term, whole]
 
     def score(self, text: str) -> tuple[float, int]:
         """Probability that a text is toxic, and the number of hits."""
@@ -164,7 +209,7 @@ class Lexicon:
         if new:
             for t in new:
                 w = t.strip(EDGE)
-                if (w[:2] in self.first_two or w[-3:] in self.last_three or w[:3] in self.first_three) and (h := self.lookup(w)):
+                if self.may_match(w) and (h := self.lookup(w)):
                     self.hot[t] = h
             if len(self.met) > CACHED_WORDS:
                 self.met.clear()
@@ -196,7 +241,8 @@ def context(tokens: list[str], i: int) -> str:
 def learn(docs: DataFrame, labels: DataFrame, which: Column, most: int = MOST_LABELLED) -> Lexicon:
     """The lexicon of the labelled texts; without toxic ones it is empty.
 
-    Counts of texts per term are grouped on the executors; at most a few times MOST_TERMS rows come to the driver.
+    Counts of texts per term are grouped on the executors; the terms that pass come to the driver, which the bounded number of
+    labelled texts bounds as well.
     """
     spark = docs.sparkSession
     storage.small_batches(spark)
@@ -210,9 +256,9 @@ def learn(docs: DataFrame, labels: DataFrame, which: Column, most: int = MOST_LA
         for b in batches:
             t, c = Counter(), Counter()
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                each = {w for w in words_of(text or "") if len(w) > 2 and not re.search(r"\d", w)}
+                each = unquoted(text)
                 n = t if y else c
-                n.update((w, True) for w in each if len(w) <= 24)
+                n.update((w, True) for w in each)
                 n.update({(w[:k], False) for w in each for k in PREFIX_LENGTHS if len(w) > k})
             keys = list(t.keys() | c.keys())
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.bool_()), pa.array([t[k] for k in keys], pa.int64()), pa.array([c[k] for k in keys], pa.int64())], ["term", "whole", "t", "c"])
@@ -221,15 +267,35 @@ def learn(docs: DataFrame, labels: DataFrame, which: Column, most: int = MOST_LA
     # A term marks toxic texts if it is RATIO times as frequent in them, and chance would hardly have it so.
     n, share, base = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c")), max(toxic, 1) / max(len(ids), 1)
     other = F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base + 1e-9))).otherwise(0.0)
-    per = per.where((F.col("t") > 0) & ((F.col("t") + 0.5) * (clean + 1) > (F.col("c") + 0.5) * (toxic + 1) * RATIO) & (F.col("t") * F.log(share / base) + other > SURPRISE) & (n > 0))
-    got = per.orderBy(F.col("t").desc(), F.col("c"), "term", "whole").limit(4 * MOST_TERMS).collect()
-    lexicon = Lexicon(*choose([(r.term, r.whole, r.t, r.c) for r in got], toxic, clean))
+    per = per.where((F.col("t") > 0) & ((F.col("t") - F.sqrt("t") + 0.5) * (clean + 1) > (F.col("c") + F.sqrt("c") + 0.5) * (toxic + 1) * RATIO) & (F.col("t") * F.log(share / base) + other > SURPRISE) & (n > 0))
+    lexicon = Lexicon(*choose([(r.term, r.whole, r.t, r.c) for r in per.collect()], toxic, clean))
     lexicon.fuzzy_odds = misspelt(rows, lexicon, toxic, clean)
+    lexicon.bias -= calmer(rows, lexicon)
     return lexicon
 
 
-def misspelt(rows: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> dict[str, float]:
-    """Log-odds of a term at a distance, from the labelled texts in which words near it occur; without any, nearly its own."""
+def calmer(rows: DataFrame, lexicon: Lexicon) -> float:
+    """The least step of CALMER that predicts about as few labelled texts wrongly as the best one: within a standard error, as
+    the terms come from the same texts. How much evidence a document needs depends on how often clean ones hit a term by chance."""
+    shared = (lexicon.terms, lexicon.bias, lexicon.fuzzy_odds)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(*shared)
+        for b in batches:
+            wrong = [0] * len(CALMER)
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, less in enumerate(CALMER):
+                    lex.bias = shared[1] - less
+                    wrong[k] += (lex.score(text or "")[0] >= 0.5) != bool(y)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(CALMER)), pa.int32()), pa.array(wrong, pa.int64())], ["k", "wrong"])
+
+    found = rows.mapInArrow(work, "k int, wrong long").groupBy("k").agg(F.sum("wrong").alias("wrong")).collect()
+    fewest = min((r.wrong for r in found), default=0)
+    return CALMER[min((r.k for r in found if r.wrong <= fewest + math.sqrt(fewest)), default=0)]
+
+
+def misspelt(rows: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> dict[tuple[str, int], float]:
+    """Log-odds of a term at each distance, from the labelled texts in which words so near it occur; without any, nearly its own."""
     shared = (lexicon.terms, lexicon.bias)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,46 +303,45 @@ def misspelt(rows: DataFrame, lexicon: Lexicon, toxic: int, clean: int) -> dict[
         for b in batches:
             out = []
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hits = {lex.lookup(w) for w in set(words_of(text or ""))} - {None}
-                out += [(h[0], y) for h in hits if h[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["term", "y"])
+                hits = {lex.lookup(w) for w in unquoted(text)} - {None}
+                out += [(h[0], h[2], y) for h in hits if h[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in out], pa.string()), pa.array([d for _, d, _ in out], pa.int32()), pa.array([y for _, _, y in out], pa.int32())], ["term", "d", "y"])
 
-    met = {r.term: (r.t, r.c) for r in rows.mapInArrow(near, "term string, y int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect()}
+    met = {(r.term, r.d): (r.t, r.c) for r in rows.mapInArrow(near, "term string, d int, y int").groupBy("term", "d").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).collect()}
     out = {}
     for (term, whole), odds in lexicon.terms.items():
-        if whole:
-            t, c = met.get(term, (0, 0))
-            unseen = math.exp(-0.8 * odds) * (clean + 1) / (toxic + 1)
-            out[term] = min(odds, math.log((t + 1) / (toxic + 1)) - math.log((c + unseen) / (clean + 1)))
+        for d in range(1, edits_allowed(term) + 1) if whole else ():
+            t, c = met.get((term, d), (0, 0))
+            unseen = math.exp(-(0.8**d) * odds) * (clean + 1) / (toxic + 1)
+            out[term, d] = min(odds, math.log((t + 1) / (toxic + 1)) - math.log((c + unseen) / (clean + 1)))
     return out
 
 
 def choose(found: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> tuple[dict[tuple[str, bool], float], float]:
     """The terms worth keeping: of a beginning and what extends it, the longest that nearly all its texts have.
 
-    Whole words for which a beginning stands are kept besides, uncounted: beginnings match exactly only, misspellings need the words.
+    Whole words for which a beginning stands are kept besides: beginnings match exactly only, misspellings need the words.
     """
     bias = min(-3.0, math.log((toxic + 1) / (clean + 1)))
-    texts = {(t, whole): k for t, whole, k, _ in found}
+    longer: dict[str, int] = {}  # the most texts of anything that extends a beginning
+    for term, whole, t, _ in found:
+        for k in PREFIX_LENGTHS:
+            if k < len(term) + whole:
+                longer[term[:k]] = max(longer.get(term[:k], 0), t)
     kept: dict[tuple[str, bool], float] = {}
-    wide: dict[str, int] = {}
-    counted = 0
+    wide: set[str] = set()
+    begun: set[str] = set()  # beginnings of what is kept
     for term, whole, t, c in sorted(found, key=lambda x: (-x[2], not x[1], -len(x[0]), x[0])):
-        stood_for = any(term[:k] in wide for k in PREFIX_LENGTHS if k < len(term) + whole)
-        if stood_for and not whole:
-            continue  # a shorter beginning stands for it
-        if not whole and any(k[0].startswith(term) for k in kept):
-            continue  # something longer has nearly as many texts, or covers it
-        longer = [k for (p, w), k in texts.items() if p.startswith(term) and (w or p != term)] if not whole else []
-        if longer and max(longer) >= COVERED * t:
-            continue
-        if not stood_for:
-            if counted >= MOST_TERMS:
+        if not whole:
+            if any(term[:k] in wide for k in PREFIX_LENGTHS if k < len(term)):
+                continue  # a shorter beginning stands for it
+            if term in begun:
+                continue  # something longer has nearly as many texts, or covers it
+            if longer.get(term, 0) >= COVERED * t:
                 continue
-            counted += 1
+            wide.add(term)
         kept[term, whole] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if not whole:
-            wide[term] = t
+        begun.update(term[:k] for k in PREFIX_LENGTHS if k <= len(term))
     return kept, bias
 
 
