@@ -28,7 +28,7 @@ MOST_LABELLED = 4000
 PREFIX_LENGTHS = range(3, 9)
 #: Terms of at least so many letters are found at edit distance 1, and 2; word beginnings and shorter terms must be exact, and
 #: so must terms of more than LONGEST_FUZZY letters.
-FUZZY_FROM, TWO_FROM, LONGEST_FUZZY = 5, 9, 40
+FUZZY_FROM, TWO_FROM, LONGEST_FUZZY = 5, 12, 40
 #: How many times as frequent in toxic texts a term is at least, with both counts one standard error to its disadvantage, and
 #: how surprising that is (nats of log-likelihood).
 RATIO, SURPRISE = 15, 16
