@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import sphere
+from waymark.operators import meet
 
 FIRST_RADIUS_M, LAST_RADIUS_M = 1000, 1_024_000
 #: Width of a grid's cells over that of the next finer one; the finest is a quarter of the mean segment, at least a metre.
@@ -146,15 +147,14 @@ def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = F
     placed = f"(select location_id, case when {wrong} then raise_error('a location without coordinates') else px end as px, py, pz from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)})"
     level = f"cast(least(greatest(ceil(log2(most / {finest!r}D) / {math.log2(WIDER)!r}D), 0), {len(widths) - 1}) as bigint)"
     width = f"element_at(array({', '.join(f'{w!r}D' for w in widths)}), cast(level as int) + 1)"
-    # Few bytes make many pairs: locations are dealt over all cores, where adaptive execution would see work for one task.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bound = f"(select /*+ REPARTITION({tasks}) */ * from {_bounded(placed, 'pieces', widths)})"
-    bound = sphere.steps_sql(bound, [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
-    pairs = f"(select location_id, px, py, pz, road_id, road_class, {ends} from (select location_id, px, py, pz, ga as la, gb as lb from {_around(bound)}) join pieces on la = ga and lb = gb)"
-    best = f"(select location_id, min(struct(distance_m, road_id is null as last, road_id, road_class, {ends}, px, py, pz)) as w from {sphere.steps_sql(pairs, sphere.STEPS)} group by location_id)"
+    bound = sphere.steps_sql(_bounded(placed, "pieces", widths), [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
+    pieces = spark.sql(f"select road_id, road_class, {ends}, piece, of, ga, gb from {made}", segments=segments)
+    asked = spark.sql(f"with pieces as (select * from {made}) select location_id, px, py, pz, most, ga, gb from {_around(bound)}", locations=locations, segments=segments)
+    pairs = meet.could_be_nearest(asked, pieces, ["ga", "gb"], ["location_id", "px", "py", "pz", "road_id", "road_class", *ends.split(", ")])
+    best = f"(select location_id, min(struct(distance_m, road_id is null as last, road_id, road_class, {ends}, px, py, pz)) as w from {sphere.steps_sql('{pairs}', sphere.STEPS)} group by location_id)"
     won = sphere.steps_sql(f"(select location_id, w.* except (distance_m, last) from {best})", sphere.STEPS + sphere.CLOSEST)
     far = f"case when distance_m > {LAST_RADIUS_M} then raise_error('a location without a segment within {LAST_RADIUS_M} m') else {_radius(first_radius_m)} end as radius_m"
-    return spark.sql(f"with pieces as (select * from {made}) select {', '.join(KEPT)}, {far} from {won}", locations=locations, segments=segments)
+    return spark.sql(f"select {', '.join(KEPT)}, {far} from {won}", pairs=pairs)
 
 
 def exhaustive(locations: DataFrame, segments: DataFrame) -> DataFrame:
@@ -171,23 +171,25 @@ def within(locations: DataFrame, segments: DataFrame, radius_m: float) -> DataFr
     Cells are as wide as the radius, or as a quarter of the mean segment where that is more. Rows without coordinates have
     no pairs.
     """
+    return meet.within(*_asked(locations, segments, radius_m), ["ga", "gb"], radius_m)
+
+
+def covered(locations: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
+    """location_id, once each, of the locations with a segment within a radius: no pairs are made."""
+    asked, pieces = _asked(locations.select("location_id", "lon", "lat"), segments.select("x1", "y1", "x2", "y2"), radius_m)
+    return meet.covered(asked, pieces, ["ga", "gb"], radius_m, ["location_id"]).distinct()
+
+
+def _asked(locations: DataFrame, segments: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Locations with ga and gb, a row for each cell that pieces within the radius can be in, and pieces with their cell."""
     spark = locations.sparkSession
     radius = radius_m / sphere.RADIUS
     width = max(radius, _finest(segments) or radius, 1 / sphere.RADIUS)
     real = f"(select * from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)} where not (px is null or isnan(px) or pz is null or isnan(pz)))"
     asked = _around(f"(select *, 0L as level, {width!r}D as width, {(radius + width / 2) * (1 + 1e-9) + 1e-12!r}D as reach from {real})")
-    asked = f"(select * except (level, width, reach, cx, cy, cz, ga, gb), ga as la, gb as lb from {asked})"
     extra = "level, width, chord2, first, t, uu, ux, uy, uz, mx, my, mz, cx, cy, cz"
-    met = f"(select * except (la, lb, ga, gb) from {asked} join (select * except ({extra}) from {_pieces(sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT), [width])}) on la = ga and lb = gb)"
-    # A filter is pushed below the steps of the distance by putting each into the next, which repeats the first ones some
-    # thousand times over; a column that can't be moved keeps it above them.
-    close = f"(select * except (row) from (select *, monotonically_increasing_id() as row from {sphere.steps_sql(met, sphere.STEPS)}) where distance_m <= {float(radius_m)!r}D and row >= 0)"
-    # A pair meets at several pieces; the one with the closest point on it counts. Sines of the arcs to both ends say where it is.
-    away = {f"d{end}": f"(qx-{end}x)*(qx-{end}x)+(qy-{end}y)*(qy-{end}y)+(qz-{end}z)*(qz-{end}z)" for end in "ae"}
-    sines = {f"s{end}": f"sqrt(d{end}) * sqrt(greatest(0e0, 1e0 - d{end} / 4e0))" for end in "ae"}
-    there = {"there": "least(floor((case when sa + se > 0 then sa / (sa + se) else 0e0 end) * of), of - 1)"}
-    close = sphere.steps_sql(sphere.steps_sql(close, sphere.CLOSEST).replace("(select *, atan2", "(select * except (da, de), atan2", 1), [away, sines, there])
-    return spark.sql(f"select * except (sa, se, da, de, there, piece, of) from {close} where there = piece", locations=locations, segments=segments)
+    pieces = spark.sql(f"select * except ({extra}) from {_pieces(sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT), [width])}", segments=segments)
+    return spark.sql(f"select * except (level, width, reach, cx, cy, cz) from {asked}", locations=locations), pieces
 
 
 def unresolved(locations: DataFrame, hits: DataFrame) -> DataFrame:
