@@ -51,3 +51,20 @@ def test_lists_are_bounded_and_whole(spark, monkeypatch):
     rows = spark.range(100).selectExpr("id % 3 as key", "id", "cast(id as string) as name")
     lists = meet.packed(rows, ["key"]).collect()
     assert sorted((r.key, x.id, x.name) for r in lists for x in r.rows) == sorted((k % 3, k, str(k)) for k in range(100))
+
+
+@pytest.mark.parametrize("radius", [20.0, 300.0])
+def test_covered_meets_lists_and_makes_no_pairs(dense, radius):
+    locations, segments, away = dense
+    got = nearest.covered(locations, segments, radius)
+    assert joined_as_lists(got) and got.columns == ["location_id"]
+    want = np.flatnonzero((away <= radius).any(1)).tolist()
+    assert 0 < len(want) and sorted(r.location_id for r in got.collect()) == want
+
+
+def test_within_meets_lists(dense):
+    locations, segments, away = dense
+    got = nearest.within(locations, segments, 500.0)
+    assert joined_as_lists(got)
+    pairs = sorted((r.location_id, int(r.road_id[1:])) for r in got.select("location_id", "road_id").collect())
+    assert pairs == sorted(map(tuple, np.argwhere(away <= 500.0).tolist()))

@@ -151,20 +151,20 @@ def distance_pairs(spark, sf_dir):
 
 @query(f"select distinct location_id from {MEASURED} where distance_m<=1000e0")
 def dwithin_semi(spark, sf_dir):
-    return near.within(_locations(spark, sf_dir), _segments(spark, sf_dir), 1000.0).select("location_id").distinct()
+    return near.covered(_locations(spark, sf_dir), _segments(spark, sf_dir), 1000.0)
 
 
 @query(f"select (select count(*) from locations) as locations, count(distinct location_id) as covered from {MEASURED} where distance_m<=1000e0")
 def coverage_1km(spark, sf_dir):
     locations = _locations(spark, sf_dir)
-    n = near.within(locations, _segments(spark, sf_dir), 1000.0).agg(F.countDistinct("location_id").alias("covered"))
+    n = near.covered(locations, _segments(spark, sf_dir), 1000.0).agg(F.count("location_id").alias("covered"))
     return locations.agg(F.count("*").alias("locations")).crossJoin(n)
 
 
 @query(f"select location_id from locations where location_id not in (select location_id from {MEASURED} where distance_m<=1000e0)")
 def anti_unresolved(spark, sf_dir):
     locations = _locations(spark, sf_dir)
-    return near.unresolved(locations, near.within(locations, _segments(spark, sf_dir), 1000.0)).select("location_id")
+    return near.unresolved(locations, near.covered(locations, _segments(spark, sf_dir), 1000.0)).select("location_id")
 
 
 RANKED = f"(select *, row_number() over (partition by location_id order by distance_m, road_id) as rn from {MEASURED})"
