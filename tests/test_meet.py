@@ -68,3 +68,13 @@ def test_within_meets_lists(dense):
     assert joined_as_lists(got)
     pairs = sorted((r.location_id, int(r.road_id[1:])) for r in got.select("location_id", "road_id").collect())
     assert pairs == sorted(map(tuple, np.argwhere(away <= 500.0).tolist()))
+
+
+def test_exhaustive_meets_lists(spark, dense):
+    locations, segments, away = dense
+    got = nearest.exhaustive(locations, segments.unionByName(spark.createDataFrame([("gone", "c", None, 1.0, 2.0, 2.0)], segments.schema)))
+    assert joined_as_lists(got)
+    rows = {r.location_id: r for r in got.collect()}
+    assert {i: r.road_id for i, r in rows.items()} == {i: f"r{x.argmin()}" for i, x in enumerate(away)}
+    nowhere = spark.createDataFrame([(1, None, 2.0)], locations.schema)
+    assert [r.road_id for r in nearest.exhaustive(nowhere, segments).collect()] == ["r0"]

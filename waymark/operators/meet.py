@@ -18,6 +18,8 @@ from waymark.functions import sphere
 
 #: Rows of a list at most; pairs that are held at once.
 BLOCK_ROWS, PAIRS_AT_ONCE = 512, 1 << 18
+#: Rows of both lists from which a matrix product is worth its call.
+DENSE = 32
 #: Bytes of an Arrow batch at most; stays set in the session.
 BATCH_BYTES = 16 << 20
 #: What rounding may add to a bound: a chord, and what is divided by the length of a segment's normal.
@@ -95,14 +97,18 @@ def _angles(p: np.ndarray, s: Pieces, k: np.ndarray) -> tuple[np.ndarray, np.nda
     return angle, np.where(inside, c, np.where(da <= de, s.a[:, k], s.e[:, k]))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _runs(batch: pa.RecordBatch, nearest: bool = False) -> Iterator[tuple]:
     """For parts of a batch (places, pieces: two lists each row): the rows of both, places as an array, Pieces, and for each
-    pair the place and the piece; pairs of a place are neighbours."""
+    pair the place and the piece; pairs of a place are neighbours. nearest: without some pairs of which another is nearer."""
     (pl, sl), (places, pieces) = (tuple(batch.column(c).value_lengths().to_numpy() for c in ("places", "pieces")), (pa.RecordBatch.from_struct_array(batch.column(c).flatten()) for c in ("places", "pieces")))
     if not places.num_rows or not pieces.num_rows:
         return
     p, s = _numbers(places, ["px", "py", "pz"]), Pieces(pieces)
-    many, start = np.repeat(sl, pl).astype(np.int64), np.repeat(np.cumsum(sl) - sl, pl).astype(np.int64)
+    pe, se = np.cumsum(pl), np.cumsum(sl)
+    dense = nearest & (np.minimum(pl, sl) >= DENSE)
+    for b in np.flatnonzero(dense):
+        yield places, pieces, p, s, *_dense(p, s, pe[b] - pl[b], pe[b], se[b] - sl[b], se[b])
+    many, start = np.repeat(np.where(dense, 0, sl), pl).astype(np.int64), np.repeat(se - sl, pl).astype(np.int64)
     ends = np.cumsum(many)
     at = 0
     while at < len(many):
@@ -116,6 +122,15 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
         at = to
 
 
+def _dense(p: np.ndarray, s: Pieces, p0: int, p1: int, s0: int, s1: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two long lists without those whose piece is surely farther than another's middle, by one matrix product;
+    chords from it are rounded by some 1e-8."""
+    dot = p[:, p0:p1].T @ s.middle[:, s0:s1]
+    bound = np.sqrt(np.maximum(0, 2 - 2 * dot.max(1))) + 1e-7
+    i, k = np.nonzero(dot >= 1 - (bound[:, None] + s.half[s0:s1]) ** 2 / 2 - 1e-14)
+    return i + p0, k + s0
+
+
 def _chord(p: np.ndarray, s: Pieces, i: np.ndarray, k: np.ndarray) -> np.ndarray:
     """From places to the middles of pieces."""
     x, y, z = (p[c][i] - s.middle[c][k] for c in range(3))
@@ -144,7 +159,7 @@ def _rows(places: pa.RecordBatch, pieces: pa.RecordBatch, i: np.ndarray, k: np.n
 
 def _could_be_nearest(batches: Batches, names: list[str]) -> Batches:
     for batch in batches:
-        for places, pieces, p, s, i, k in _runs(batch):
+        for places, pieces, p, s, i, k in _runs(batch, True):
             chord = _chord(p, s, i, k)
             least = chord - s.half[k]
             bound = _least(i, chord)
