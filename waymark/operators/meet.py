@@ -19,7 +19,7 @@ from waymark.functions import sphere
 #: Rows of a list at most; pairs that are held at once.
 BLOCK_ROWS, PAIRS_AT_ONCE = 512, 1 << 18
 #: Rows of both lists from which a matrix product is worth its call.
-DENSE = 32
+DENSE = 128
 #: Bytes of an Arrow batch at most; stays set in the session.
 BATCH_BYTES = 16 << 20
 #: What rounding may add to a bound: a chord, and what is divided by the length of a segment's normal.
