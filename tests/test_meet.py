@@ -1,5 +1,7 @@
 """Operators on locations and segments where many of both share a cell: lists are joined, not rows."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -70,6 +72,15 @@ def test_within_meets_lists(dense):
     assert pairs == sorted(map(tuple, np.argwhere(away <= 500.0).tolist()))
 
 
+def test_within_makes_only_what_is_asked(dense):
+    locations, segments, away = dense
+    got = nearest.within(locations, segments, 500.0, ["location_id", "distance_m"])
+    assert joined_as_lists(got) and got.columns == ["location_id", "distance_m"]
+    lists = re.findall(r"MapInArrow _packed.*|MapInArrow.*rows#.*", got._jdf.queryExecution().analyzed().toString())
+    assert lists and not any(c in x for x in lists for c in ("road_class", "x1", "lon#"))
+    assert sorted(r.location_id for r in got.collect()) == np.argwhere(away <= 500.0)[:, 0].tolist()
+
+
 def test_exhaustive_meets_lists(spark, dense):
     locations, segments, away = dense
     got = nearest.exhaustive(locations, segments.unionByName(spark.createDataFrame([("gone", "c", None, 1.0, 2.0, 2.0)], segments.schema)))

@@ -25,6 +25,9 @@ BATCH_BYTES = 16 << 20
 #: What rounding may add to a bound: a chord, and what is divided by the length of a segment's normal.
 SLACK, NORMAL_SLACK = 1e-12, 4e-15
 
+#: Columns that the kernels read.
+_OF_PLACES, _OF_PIECES = ("px", "py", "pz"), ("ax", "ay", "az", "ex", "ey", "ez", "piece", "of")
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -196,7 +199,9 @@ def _within(batches: Batches, radius_m: float, names: list[str]) -> Batches:
             kept = (distance <= radius_m) & (np.minimum(np.floor(share * s.of[k]), s.of[k] - 1) == s.piece[k])
             if kept.any():
                 (x, y, z), rad = q[:, kept], float(sphere.RAD.removesuffix("e0"))
-                more = {"distance_m": distance[kept], "near_lon": np.arctan2(y, x) / rad, "near_lat": np.arcsin(np.clip(z, -1, 1)) / rad}
+                more = {"distance_m": distance[kept]}
+                if "near_lon" in names or "near_lat" in names:
+                    more |= {"near_lon": np.arctan2(y, x) / rad, "near_lat": np.arcsin(np.clip(z, -1, 1)) / rad}
                 yield _rows(places, pieces, i[kept], k[kept], more, names)
 
 
@@ -233,11 +238,14 @@ def could_be_nearest(places: DataFrame, pieces: DataFrame, keys: list[str], name
     return _met(places, pieces, keys, lambda batches: _could_be_nearest(batches, names), schema)
 
 
-def within(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: float) -> DataFrame:
-    """Columns of both, distance_m, near_lon, near_lat: pairs within the radius, each once."""
+def within(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: float, names: list[str] | None = None) -> DataFrame:
+    """Columns of both, distance_m, near_lon, near_lat: pairs within the radius, each once. names: these columns alone; others are
+    neither packed nor made."""
     numbers = [T.StructField(c, T.DoubleType()) for c in ("distance_m", "near_lon", "near_lat")]
-    schema = T.StructType(_fields(places, pieces, None, {*keys, "piece", "of"}) + numbers)
+    every = _fields(places, pieces, None, {*keys, "piece", "of"}) + numbers
+    schema = T.StructType([f for c in names for f in every if f.name == c] if names else every)
     names = schema.names
+    places, pieces = (d.select(*(c for c in d.columns if c in {*keys, *needed, *names})) for d, needed in ((places, _OF_PLACES), (pieces, _OF_PIECES)))
     return _met(places, pieces, keys, lambda batches: _within(batches, radius_m, names), schema)
 
 

@@ -141,12 +141,13 @@ def projected_length(spark, sf_dir):
 
 @query(f"select location_id, road_id, {ROUNDED} from {MEASURED} where distance_m<=5000e0")
 def dwithin_join(spark, sf_dir):
-    return _round(near.within(_locations(spark, sf_dir), _segments(spark, sf_dir), 5000.0)).select("location_id", "road_id", "distance_m")
+    return _round(near.within(_locations(spark, sf_dir), _segments(spark, sf_dir), 5000.0, ["location_id", "road_id", "distance_m"]))
 
 
 @query(f"select location_id, road_id, {ROUNDED} from {MEASURED} where distance_m<=2000e0 and {IN_TIER['arterial']}")
 def distance_pairs(spark, sf_dir):
-    return _round(near.within(_locations(spark, sf_dir), _segments(spark, sf_dir).where(F.col("road_class").isin(*roads.ARTERIAL)), 2000.0)).select("location_id", "road_id", "distance_m")
+    arterial = _segments(spark, sf_dir).where(F.col("road_class").isin(*roads.ARTERIAL))
+    return _round(near.within(_locations(spark, sf_dir), arterial, 2000.0, ["location_id", "road_id", "distance_m"]))
 
 
 @query(f"select distinct location_id from {MEASURED} where distance_m<=1000e0")
