@@ -7,6 +7,7 @@ import pytest
 
 from waymark.functions import sphere
 from waymark.operators import meet, nearest
+from waymark.plans.catalog import QUERIES
 
 
 def unit(lon, lat):
@@ -81,6 +82,14 @@ def test_within_makes_only_what_is_asked(dense):
     assert sorted(r.location_id for r in got.collect()) == np.argwhere(away <= 500.0)[:, 0].tolist()
 
 
+def test_nearest_lists_searched_grids_alone(dense):
+    """The bounds are staged first; they say which grids' pieces are needed."""
+    locations, segments, _ = dense
+    plan = nearest.nearest(locations, segments)._jdf.queryExecution().analyzed().toString()
+    listed = re.findall(r"named_struct\(level, (\d+)", plan)
+    assert 0 < len(listed) < len(nearest._grids(nearest._finest(segments))) / 2
+
+
 def test_exhaustive_meets_lists(spark, dense):
     locations, segments, away = dense
     got = nearest.exhaustive(locations, segments.unionByName(spark.createDataFrame([("gone", "c", None, 1.0, 2.0, 2.0)], segments.schema)))
@@ -89,3 +98,10 @@ def test_exhaustive_meets_lists(spark, dense):
     assert {i: r.road_id for i, r in rows.items()} == {i: f"r{x.argmin()}" for i, x in enumerate(away)}
     nowhere = spark.createDataFrame([(1, None, 2.0)], locations.schema)
     assert [r.road_id for r in nearest.exhaustive(nowhere, segments).collect()] == ["r0"]
+
+
+@pytest.mark.parametrize("name", ["cross_result_diff", "cross_result_report", "mismatch_samples"])
+def test_compared_results_are_made_one_by_one(spark, sf, name):
+    """A statement on several results reads them staged; their plans together took more memory than the driver has."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" not in plan and "near_lon" in plan

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import sphere
 from waymark.operators import meet
+from waymark.sources import staging
 
 FIRST_RADIUS_M, LAST_RADIUS_M = 1000, 1_024_000
 #: Width of a grid's cells over that of the next finer one; the finest is a quarter of the mean segment, at least a metre.
@@ -47,21 +48,21 @@ def _cell(x: str, width: str) -> str:
 _KEYS = {"ga": f"cx * {1 << 31}L + cy", "gb": "cz * 64L + level"}
 
 
-def _grids(finest: float) -> list[float]:
-    """Widths of cells, from the finest to one cell that holds everything."""
+def _grids(finest: float) -> dict[int, float]:
+    """Widths of cells by level, from the finest to one cell that holds everything."""
     out = [finest]
     while out[-1] < 4:
         out.append(out[-1] * WIDER)
-    return out
+    return dict(enumerate(out))
 
 
-def _each_level(source: str, widths: list[float]) -> str:
+def _each_level(source: str, widths: dict[int, float]) -> str:
     """The rows of a source with level and width, one for each grid."""
-    grids = ", ".join(f"named_struct('level', {k}L, 'width', {w!r}D)" for k, w in enumerate(widths))
+    grids = ", ".join(f"named_struct('level', {k}L, 'width', {w!r}D)" for k, w in widths.items())
     return f"(select * except (g), g.level as level, g.width as width from (select *, explode(array({grids})) as g from {source}))"
 
 
-def _pieces(source: str, widths: list[float]) -> str:
+def _pieces(source: str, widths: dict[int, float]) -> str:
     """Segments with ga, gb, level, width, mx, my, mz, cx, cy, cz, piece, of: a row for each piece in each grid. Segments without
     coordinates have none.
 
@@ -102,7 +103,7 @@ def _finest(segments: DataFrame) -> float | None:
     return None if row["mean"] is None else max(row["mean"] / 4, 1 / sphere.RADIUS)
 
 
-def _bounded(places: str, pieces: str, widths: list[float]) -> str:
+def _bounded(places: str, pieces: str, widths: dict[int, float]) -> str:
     """location_id, px, py, pz, most: no location is farther than `most` (a chord) from its nearest segment.
 
     The witness of a cell is the place of one piece in it, rounded; as the coarsest cell holds all, everyone has one.
@@ -128,7 +129,7 @@ def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = F
     """location_id, road_id, road_class, distance_m, near_lon, near_lat, radius_m (the first of the doubled radii from
     first_radius_m on that reaches the segment). Ties go to the smaller road_id as text, null last.
 
-    It is an error, when the rows are read, if a location has no coordinates or no segment within LAST_RADIUS_M. No
+    It is an error if a location has no coordinates and, when the rows are read, if it has no segment within LAST_RADIUS_M. No
     locations: no rows. Segments without coordinates take no part. Rows of one location_id are one location of several
     places. Arcs of up to 170 degrees are exact.
     """
@@ -141,15 +142,18 @@ def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = F
         raise RuntimeError("no segments")
     widths = _grids(finest)
     ends = ", ".join(f"{p}{c}" for p in "ae" for c in "xyz")
-    # One statement, as each step of a DataFrame would analyse all steps before it again.
-    made = _pieces(f"(select road_id, road_class, {ends} from {sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT)})", widths)
+    # Few statements, as each step of a DataFrame would analyse all steps before it again.
+    made = lambda grids: _pieces(f"(select road_id, road_class, {ends} from {sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT)})", grids)
     wrong = "lon is null or isnan(lon) or lat is null or isnan(lat)"
     placed = f"(select location_id, case when {wrong} then raise_error('a location without coordinates') else px end as px, py, pz from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)})"
     level = f"cast(least(greatest(ceil(log2(most / {finest!r}D) / {math.log2(WIDER)!r}D), 0), {len(widths) - 1}) as bigint)"
-    width = f"element_at(array({', '.join(f'{w!r}D' for w in widths)}), cast(level as int) + 1)"
+    width = f"element_at(array({', '.join(f'{w!r}D' for w in widths.values())}), cast(level as int) + 1)"
     bound = sphere.steps_sql(_bounded(placed, "pieces", widths), [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
-    pieces = spark.sql(f"select road_id, road_class, {ends}, piece, of, ga, gb from {made}", segments=segments)
-    asked = spark.sql(f"with pieces as (select * from {made}) select location_id, px, py, pz, most, ga, gb from {_around(bound)}", locations=locations, segments=segments)
+    # The bounds say which grids are searched; the others' pieces are not made, moved and packed.
+    bounds = staging.staged(spark.sql(f"with pieces as (select * from {made(widths)}) select * from {bound}", locations=locations, segments=segments), "nearest-bounds")
+    searched = {r.level: widths[r.level] for r in bounds.select("level").distinct().collect()} or widths
+    pieces = spark.sql(f"select road_id, road_class, {ends}, piece, of, ga, gb from {made(searched)}", segments=segments)
+    asked = spark.sql(f"select location_id, px, py, pz, most, ga, gb from {_around('{bounds}')}", bounds=bounds)
     pairs = meet.could_be_nearest(asked, pieces, ["ga", "gb"], ["location_id", "px", "py", "pz", "road_id", "road_class", *ends.split(", ")])
     best = f"(select location_id, min(struct(distance_m, road_id is null as last, road_id, road_class, {ends}, px, py, pz)) as w from {sphere.steps_sql('{pairs}', sphere.STEPS)} group by location_id)"
     won = sphere.steps_sql(f"(select location_id, w.* except (distance_m, last) from {best})", sphere.STEPS + sphere.CLOSEST)
@@ -203,7 +207,7 @@ def _asked(locations: DataFrame, segments: DataFrame, radius_m: float) -> tuple[
     real = f"(select * from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)} where not (px is null or isnan(px) or pz is null or isnan(pz)))"
     asked = _around(f"(select *, 0L as level, {width!r}D as width, {(radius + width / 2) * (1 + 1e-9) + 1e-12!r}D as reach from {real})")
     extra = "level, width, chord2, first, t, uu, ux, uy, uz, mx, my, mz, cx, cy, cz"
-    pieces = spark.sql(f"select * except ({extra}) from {_pieces(sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT), [width])}", segments=segments)
+    pieces = spark.sql(f"select * except ({extra}) from {_pieces(sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT), {0: width})}", segments=segments)
     return spark.sql(f"select * except (level, width, reach, cx, cy, cz) from {asked}", locations=locations), pieces
 
 

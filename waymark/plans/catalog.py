@@ -11,6 +11,7 @@ from waymark.functions import planar, sphere
 from waymark.operators import nearest as near
 from waymark.operators import provenance as prov
 from waymark.operators import report, results, roads
+from waymark.sources import staging
 from waymark.sources.fixtures import relation, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,8 +236,7 @@ AGAIN = f"(select *, row_number() over (partition by location_id order by distan
 @query(f"""select a.location_id, a.road_id as road_a, b.road_id as road_b, round(abs(a.distance_m-b.distance_m),3) as delta_m, a.road_id=b.road_id as same_road,
  abs(a.distance_m-b.distance_m)>1e0 as failed from {RANKED} a join {AGAIN} b on a.location_id=b.location_id where a.rn=1 and b.rn=1""")
 def cross_result_diff(spark, sf_dir):
-    locations, segments = _locations(spark, sf_dir), _segments(spark, sf_dir)
-    a, b = near.nearest(locations, segments, 8000), near.nearest(locations, segments.where(F.col("road_class").isin(*roads.GENERAL)), 8000)
+    a, b = (_staged_nearest_of(spark, sf_dir, t) for t in (None, "general_driving"))
     return results.difference(a, b, 1.0).withColumn("delta_m", F.round("delta_m", 3)).select("location_id", "road_a", "road_b", "delta_m", "same_road", "failed")
 
 
@@ -252,6 +252,11 @@ def _nearest_of(spark, sf_dir, tier: str | None) -> DataFrame:
     return near.nearest(_locations(spark, sf_dir), s.where(F.col("road_class").isin(*roads.TIERS[tier])) if tier else s, 8000)
 
 
+def _staged_nearest_of(spark, sf_dir, tier: str | None) -> DataFrame:
+    """For statements on several results: each is made once and alone, so that the driver never holds the plans of all."""
+    return staging.staged(_nearest_of(spark, sf_dir, tier), f"nearest-{tier or 'every'}")
+
+
 @query(f"select location_id, round(off_m,3) as off_m from {report.on_roads_sql(_nearest_sql(None), 'segments')}")
 def offroad_check(spark, sf_dir):
     text = f"select location_id, round(off_m,3) as off_m from {report.on_roads_sql('{result}', '{segments}')}"
@@ -268,17 +273,17 @@ def _compared(a: str, b: str, segments: str) -> str:
 @query(" union all ".join(f"select * from {report.summary_sql(_compared(_nearest_sql(t), _nearest_sql(None), 'segments'), t, TOLERANCE_M, 'select count(*) from locations')}" for t in COMPARED))
 def cross_result_report(spark, sf_dir):
     parts = [f"select * from {report.summary_sql(_compared('{' + t + '}', '{every}', '{segments}'), t, TOLERANCE_M, 'select count(*) from {locations}')}" for t in COMPARED]
-    results_of = {t: _nearest_of(spark, sf_dir, t) for t in COMPARED}
-    return spark.sql(" union all ".join(parts), every=_nearest_of(spark, sf_dir, None), segments=_segments(spark, sf_dir), locations=_locations(spark, sf_dir), **results_of)
+    results_of = {t: _staged_nearest_of(spark, sf_dir, t) for t in COMPARED}
+    return spark.sql(" union all ".join(parts), every=_staged_nearest_of(spark, sf_dir, None), segments=_segments(spark, sf_dir), locations=_locations(spark, sf_dir), **results_of)
 
 
 @query(f"""select road_tier, location_id, road_a, road_b, round(delta_m,3) as delta_m from (select *, row_number() over (partition by road_tier order by location_id) as nth from
  ({' union all '.join(f"select '{t}' as road_tier, * from {_compared(_nearest_sql(t), _nearest_sql(None), 'segments')}" for t in COMPARED)}) u where failed) v where nth<={report.MOST_SAMPLES}""")
 def mismatch_samples(spark, sf_dir):
-    every, segments = _nearest_of(spark, sf_dir, None), _segments(spark, sf_dir)
+    every, segments = _staged_nearest_of(spark, sf_dir, None), _segments(spark, sf_dir)
     found = None
     for t in COMPARED:
-        rows = spark.sql(f"select * from {_compared('{a}', '{b}', '{segments}')}", a=_nearest_of(spark, sf_dir, t), b=every, segments=segments)
+        rows = spark.sql(f"select * from {_compared('{a}', '{b}', '{segments}')}", a=_staged_nearest_of(spark, sf_dir, t), b=every, segments=segments)
         one = report.samples(rows, F.lit(t))
         found = one if found is None else found.unionByName(one)
     return found.select("road_tier", "location_id", "road_a", "road_b", F.round("delta_m", 3).alias("delta_m"))

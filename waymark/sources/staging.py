@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame
 FALLBACK = "/tmp/checkpoints/waymark"
 
 
+#: Shuffle files of a statement that has ended are deleted, not kept until the driver collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back; its plan and its shuffle files end here."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -18,5 +23,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         base = FALLBACK
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
