@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.functions import sphere
 from waymark.operators import meet, nearest
@@ -82,6 +83,21 @@ def test_within_makes_only_what_is_asked(dense):
     assert sorted(r.location_id for r in got.collect()) == np.argwhere(away <= 500.0)[:, 0].tolist()
 
 
+def test_within_rounds_as_sql_does(spark, sf, dense):
+    """The kernel rounds: round() on each of so many pairs took a tenth of the query's CPU seconds."""
+    locations, segments, _ = dense
+    assert "round(" not in QUERIES["dwithin_join"](spark, sf)._jdf.queryExecution().analyzed().toString()
+    names = ["location_id", "road_id", "distance_m"]
+    got = nearest.within(locations, segments, 500.0, names, 3)
+    want = nearest.within(locations, segments, 500.0, names).withColumn("distance_m", F.round("distance_m", 3))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    rng = np.random.default_rng(5)
+    x = np.concatenate([[0.0, 0.0005, 0.0015, 0.0025, 1.0005, 4999.9995, 2e7], rng.integers(0, 5_000_000, 4000) / 1000 + 0.0005, rng.uniform(0, 5000, 4000)])
+    x = np.concatenate([x, np.nextafter(x, np.inf), np.nextafter(x[1:], 0)])
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", F.round("x", 3).alias("r")).orderBy("i").collect()
+    assert meet.rounded(x, 3).tolist() == [r.r for r in rows]
+
+
 def test_nearest_lists_searched_grids_alone(dense):
     """The bounds are staged first; they say which grids' pieces are needed."""
     locations, segments, _ = dense

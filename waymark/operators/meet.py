@@ -8,6 +8,7 @@ No cell has to lie in one task: a large one is several lists, and adaptive execu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,17 @@ def _could_be_nearest(batches: Batches, names: list[str]) -> Batches:
                 yield _rows(places, pieces, i[kept], k[kept], {}, names)
 
 
-def _within(batches: Batches, radius_m: float, names: list[str]) -> Batches:
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Metres as round() of SQL has them, half up by their decimal digits; those are made only where the product leaves the half in
+    doubt."""
+    scaled = x * 10.0**digits
+    out = np.rint(scaled) / 10.0**digits
+    doubt = np.abs(scaled - np.floor(scaled) - 0.5) <= 1e-6 + 4 * np.spacing(scaled)
+    out[doubt] = [float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in x[doubt].tolist()]
+    return out
+
+
+def _within(batches: Batches, radius_m: float, names: list[str], digits: int | None) -> Batches:
     reach = radius_m / sphere.RADIUS * (1 + 1e-9) + SLACK  # a chord is no longer than its arc
     for batch in batches:
         for places, pieces, p, s, i, k in _runs(batch):
@@ -199,7 +210,7 @@ def _within(batches: Batches, radius_m: float, names: list[str]) -> Batches:
             kept = (distance <= radius_m) & (np.minimum(np.floor(share * s.of[k]), s.of[k] - 1) == s.piece[k])
             if kept.any():
                 (x, y, z), rad = q[:, kept], float(sphere.RAD.removesuffix("e0"))
-                more = {"distance_m": distance[kept]}
+                more = {"distance_m": distance[kept] if digits is None else rounded(distance[kept], digits)}
                 if "near_lon" in names or "near_lat" in names:
                     more |= {"near_lon": np.arctan2(y, x) / rad, "near_lat": np.arcsin(np.clip(z, -1, 1)) / rad}
                 yield _rows(places, pieces, i[kept], k[kept], more, names)
@@ -238,15 +249,15 @@ def could_be_nearest(places: DataFrame, pieces: DataFrame, keys: list[str], name
     return _met(places, pieces, keys, lambda batches: _could_be_nearest(batches, names), schema)
 
 
-def within(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: float, names: list[str] | None = None) -> DataFrame:
+def within(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: float, names: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Columns of both, distance_m, near_lon, near_lat: pairs within the radius, each once. names: these columns alone; others are
-    neither packed nor made."""
+    neither packed nor made. digits: distance_m rounded to so many decimals."""
     numbers = [T.StructField(c, T.DoubleType()) for c in ("distance_m", "near_lon", "near_lat")]
     every = _fields(places, pieces, None, {*keys, "piece", "of"}) + numbers
     schema = T.StructType([f for c in names for f in every if f.name == c] if names else every)
     names = schema.names
     places, pieces = (d.select(*(c for c in d.columns if c in {*keys, *needed, *names})) for d, needed in ((places, _OF_PLACES), (pieces, _OF_PIECES)))
-    return _met(places, pieces, keys, lambda batches: _within(batches, radius_m, names), schema)
+    return _met(places, pieces, keys, lambda batches: _within(batches, radius_m, names, digits), schema)
 
 
 def covered(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: float, names: list[str]) -> DataFrame:

@@ -183,14 +183,14 @@ def exhaustive(locations: DataFrame, segments: DataFrame) -> DataFrame:
     return pairs.groupBy("location_id").agg(F.min(order).alias("w")).select("location_id", "w.*").select(*KEPT)
 
 
-def within(locations: DataFrame, segments: DataFrame, radius_m: float, names: list[str] | None = None) -> DataFrame:
+def within(locations: DataFrame, segments: DataFrame, radius_m: float, names: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """All pairs within a radius, each once for each pair of rows: all columns of both, distance_m, near_lon, near_lat; or those in
-    names, so that a pair costs no more than what is asked of it.
+    names, so that a pair costs no more than what is asked of it. digits: decimals that distance_m is rounded to.
 
     Cells are as wide as the radius, or as a quarter of the mean segment where that is more. Rows without coordinates have
     no pairs.
     """
-    return meet.within(*_asked(locations, segments, radius_m), ["ga", "gb"], radius_m, names)
+    return meet.within(*_asked(locations, segments, radius_m), ["ga", "gb"], radius_m, names, digits)
 
 
 def covered(locations: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:

@@ -142,7 +142,7 @@ def projected_length(spark, sf_dir):
 
 @query(f"select location_id, road_id, {ROUNDED} from {MEASURED} where distance_m<=5000e0")
 def dwithin_join(spark, sf_dir):
-    return _round(near.within(_locations(spark, sf_dir), _segments(spark, sf_dir), 5000.0, ["location_id", "road_id", "distance_m"]))
+    return near.within(_locations(spark, sf_dir), _segments(spark, sf_dir), 5000.0, ["location_id", "road_id", "distance_m"], 3)
 
 
 @query(f"select location_id, road_id, {ROUNDED} from {MEASURED} where distance_m<=2000e0 and {IN_TIER['arterial']}")
