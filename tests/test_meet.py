@@ -106,6 +106,20 @@ def test_nearest_lists_searched_grids_alone(dense):
     assert 0 < len(listed) < len(nearest._grids(nearest._finest(segments))) / 2
 
 
+def test_nearest_bounds_are_near(dense, monkeypatch):
+    """A bound as wide as a cell of the finest searched grid made each location some 18 rows, and of many pairs none was surely nearer."""
+    locations, segments, away = dense
+    kept = []
+    monkeypatch.setattr(nearest.staging, "staged", lambda df, name, f=nearest.staging.staged: kept.append(f(df, name)) or kept[-1])
+    assert nearest.nearest(locations, segments).count() == 700
+    bounds, finest = {r.location_id: r for r in kept[0].collect()}, nearest._finest(segments)
+    assert len(bounds) == 700
+    assert all(r.most >= 2 * np.sin(away[i].min() / sphere.RADIUS / 2) for i, r in bounds.items())
+    assert np.median([r.most for r in bounds.values()]) < finest / 4
+    asked = locations.sparkSession.sql(f"select * from {nearest._around('{bounds}')}", bounds=kept[0]).count()
+    assert asked < 10 * 700
+
+
 def test_exhaustive_meets_lists(spark, dense):
     locations, segments, away = dense
     got = nearest.exhaustive(locations, segments.unionByName(spark.createDataFrame([("gone", "c", None, 1.0, 2.0, 2.0)], segments.schema)))

@@ -7,7 +7,7 @@ is within r and half a cell of the middle of a piece: cells that this ball touch
 Grids of several sizes are used at once, each cell four times as wide as the one before. The finest cell that holds a
 location together with some piece bounds the distance to its nearest segment; that bound is the location's own radius, and
 it searches the grid whose cells are about that wide. So dense regions are searched in small cells and empty ones in large
-cells, and no cell has to be chosen for both. Everything is an equi-join on cells, which adaptive execution can split.
+cells, and no cell has to be chosen for both. A grid finer than those searched bounds distances where segments are many. Everything is an equi-join on cells, which adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from waymark.sources import staging
 FIRST_RADIUS_M, LAST_RADIUS_M = 1000, 1_024_000
 #: Width of a grid's cells over that of the next finer one; the finest is a quarter of the mean segment, at least a metre.
 WIDER = 4
+#: Grids finer than the finest that is searched; they bound distances alone, by the middles of its pieces.
+BOUNDING = 1
 #: Places within a cell that a witness is rounded to, per axis.
 PLACES = 1024
 #: Pieces of a segment that are listed at once.
@@ -62,16 +64,16 @@ def _each_level(source: str, widths: dict[int, float]) -> str:
     return f"(select * except (g), g.level as level, g.width as width from (select *, explode(array({grids})) as g from {source}))"
 
 
-def _pieces(source: str, widths: dict[int, float]) -> str:
+def _pieces(source: str, widths: dict[int, float], least: float = 0.0) -> str:
     """Segments with ga, gb, level, width, mx, my, mz, cx, cy, cz, piece, of: a row for each piece in each grid. Segments without
-    coordinates have none.
+    coordinates have none. least: pieces are cut no shorter, however small the cells.
 
     Steps along the chord are longest where it is nearest to the centre, by the factor 1 / sqrt(1 - chord^2 / 4).
     """
     known = f"(select *, (ax-ex)*(ax-ex)+(ay-ey)*(ay-ey)+(az-ez)*(az-ez) as chord2 from {source})"
     each = _each_level(f"(select * from {known} where chord2 is not null and not isnan(chord2))", widths)
     steps = [
-        {"of": "greatest(1L, ceil(sqrt(chord2) / sqrt(greatest(1e-3, 1e0 - chord2 / 4e0)) / width * 1.000000001e0))"},
+        {"of": f"greatest(1L, ceil(sqrt(chord2) / sqrt(greatest(1e-3, 1e0 - chord2 / 4e0)) / greatest(width, {least!r}D) * 1.000000001e0))"},
         {"first": f"explode(sequence(0L, of - 1L, {LISTED}L))"},
         {"piece": f"explode(sequence(first, least(first + {LISTED - 1}L, of - 1L)))"},
         {"t": "(piece + 0.5e0) / of"},
@@ -143,14 +145,15 @@ def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = F
     widths = _grids(finest)
     ends = ", ".join(f"{p}{c}" for p in "ae" for c in "xyz")
     # Few statements, as each step of a DataFrame would analyse all steps before it again.
-    made = lambda grids: _pieces(f"(select road_id, road_class, {ends} from {sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT)})", grids)
+    made = lambda grids: _pieces(f"(select road_id, road_class, {ends} from {sphere.unit_sql('{segments}', sphere.SEGMENT_UNIT)})", grids, finest)
+    bounding = {-k: finest / WIDER**k for k in range(BOUNDING, 0, -1)} | widths
     wrong = "lon is null or isnan(lon) or lat is null or isnan(lat)"
     placed = f"(select location_id, case when {wrong} then raise_error('a location without coordinates') else px end as px, py, pz from {sphere.unit_sql('{locations}', sphere.LOCATION_UNIT)})"
     level = f"cast(least(greatest(ceil(log2(most / {finest!r}D) / {math.log2(WIDER)!r}D), 0), {len(widths) - 1}) as bigint)"
     width = f"element_at(array({', '.join(f'{w!r}D' for w in widths.values())}), cast(level as int) + 1)"
-    bound = sphere.steps_sql(_bounded(placed, "pieces", widths), [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
+    bound = sphere.steps_sql(_bounded(placed, "pieces", bounding), [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
     # The bounds say which grids are searched; the others' pieces are not made, moved and packed.
-    bounds = staging.staged(spark.sql(f"with pieces as (select * from {made(widths)}) select * from {bound}", locations=locations, segments=segments), "nearest-bounds")
+    bounds = staging.staged(spark.sql(f"with pieces as (select * from {made(bounding)}) select * from {bound}", locations=locations, segments=segments), "nearest-bounds")
     searched = {r.level: widths[r.level] for r in bounds.select("level").distinct().collect()} or widths
     pieces = spark.sql(f"select road_id, road_class, {ends}, piece, of, ga, gb from {made(searched)}", segments=segments)
     asked = spark.sql(f"select location_id, px, py, pz, most, ga, gb from {_around('{bounds}')}", bounds=bounds)
