@@ -7,7 +7,8 @@ is within r and half a cell of the middle of a piece: cells that this ball touch
 Grids of several sizes are used at once, each cell four times as wide as the one before. The finest cell that holds a
 location together with some piece bounds the distance to its nearest segment; that bound is the location's own radius, and
 it searches the grid whose cells are about that wide. So dense regions are searched in small cells and empty ones in large
-cells, and no cell has to be chosen for both. A grid finer than those searched bounds distances where segments are many. Everything is an equi-join on cells, which adaptive execution can split.
+cells, and no cell has to be chosen for both. A grid finer than those searched bounds distances where segments are many.
+Everything is an equi-join on cells, which adaptive execution can split.
 """
 
 from __future__ import annotations
