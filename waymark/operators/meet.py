@@ -3,6 +3,9 @@
 A join of rows would make a row for each pair. Here rows of a cell are packed into lists first, the lists are joined on the
 cell, and numpy goes through the pairs of two lists: bounds for every pair, the distance for those that the bounds leave.
 No cell has to lie in one task: a large one is several lists, and adaptive execution can split the join.
+
+Spark takes lists, and what explode() makes, for about as large as the files that they come from. Left to itself it broadcasts
+tables of which the driver can hold neither the rows nor the hash table, so joins on cells say that both sides are sorted.
 """
 
 from __future__ import annotations
@@ -231,8 +234,10 @@ def _covered(batches: Batches, radius_m: float, names: list[str]) -> Batches:
                 yield _rows(places, pieces, i, i, {}, names)
 
 
-def _met(places: DataFrame, pieces: DataFrame, keys: list[str], kernel: Callable[[Batches], Batches], schema: T.StructType) -> DataFrame:
-    both = "select {p}.rows as places, {s}.rows as pieces from {p} " + (f"join {{s}} using ({', '.join(keys)})" if keys else "cross join {s}")
+def _met(places: DataFrame, pieces: DataFrame, keys: list[str], kernel: Callable[[Batches], Batches], schema: T.StructType, few: bool = False) -> DataFrame:
+    """few: places are known to be few, so that they are broadcast."""
+    how = "broadcast(p)" if few else "merge(p, s)" if keys else "shuffle_replicate_nl(p, s)"
+    both = f"select /*+ {how} */ p.rows as places, s.rows as pieces from {{p}} as p " + (f"join {{s}} as s using ({', '.join(keys)})" if keys else "cross join {s} as s")
     p, s = packed(places, keys), packed(pieces, keys)
     return places.sparkSession.sql(both, p=p, s=s).mapInArrow(kernel, schema)
 
@@ -242,11 +247,11 @@ def _fields(places: DataFrame, pieces: DataFrame, names: list[str] | None, dropp
     return [every[c] for c in (names or [c for d in (places, pieces) for c in d.columns if c not in dropped])]
 
 
-def could_be_nearest(places: DataFrame, pieces: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+def could_be_nearest(places: DataFrame, pieces: DataFrame, keys: list[str], names: list[str], few: bool = False) -> DataFrame:
     """Columns of places (px, py, pz; most: a chord in which it has a segment) and pieces for pairs that meet and of which no other
-    in the same lists is surely nearer."""
+    in the same lists is surely nearer. few: places are broadcast."""
     schema = T.StructType(_fields(places, pieces, names, set()))
-    return _met(places, pieces, keys, lambda batches: _could_be_nearest(batches, names), schema)
+    return _met(places, pieces, keys, lambda batches: _could_be_nearest(batches, names), schema, few)
 
 
 def within(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: float, names: list[str] | None = None, digits: int | None = None) -> DataFrame:

@@ -31,6 +31,8 @@ BOUNDING = 1
 PLACES = 1024
 #: Pieces of a segment that are listed at once.
 LISTED = 1024
+#: Locations that are broadcast to the pieces, at most: some tens of cells each.
+FEW = 4096
 KEPT = ("location_id", "road_id", "road_class", "distance_m", "near_lon", "near_lat")
 
 
@@ -117,7 +119,7 @@ def _bounded(places: str, pieces: str, widths: dict[int, float]) -> str:
     own = sphere.steps_sql(_each_level(places, widths), [{f"c{c}": _cell(f"p{c}", "width") for c in "xyz"}, _KEYS])
     bits = {"x": f"(place div {PLACES**2})", "y": f"(place div {PLACES}) % {PLACES}", "z": f"place % {PLACES}"}
     gap = " + ".join(f"pow(p{c} + 2e0 - (c{c} + ({v} + 0.5e0) / {PLACES}) * width, 2)" for c, v in bits.items())
-    return f"(select location_id, px, py, pz, min(sqrt({gap}) + width / {PLACES}e0) as most from {own} join {witness} on ga = wa and gb = wb group by location_id, px, py, pz)"
+    return f"(select /*+ merge(o, w) */ location_id, px, py, pz, min(sqrt({gap}) + width / {PLACES}e0) as most from {own} as o join {witness} as w on ga = wa and gb = wb group by location_id, px, py, pz)"
 
 
 def _radius(first_m: float) -> str:
@@ -155,10 +157,11 @@ def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = F
     bound = sphere.steps_sql(_bounded(placed, "pieces", bounding), [{"level": level}, {"width": width}, {"reach": "(most + width / 2e0) * 1.000000001e0 + 1e-12"}])
     # The bounds say which grids are searched; the others' pieces are not made, moved and packed.
     bounds = staging.staged(spark.sql(f"with pieces as (select * from {made(bounding)}) select * from {bound}", locations=locations, segments=segments), "nearest-bounds")
-    searched = {r.level: widths[r.level] for r in bounds.select("level").distinct().collect()} or widths
+    asking = {r["level"]: r["count"] for r in bounds.groupBy("level").count().collect()}
+    searched = {k: widths[k] for k in asking} or widths
     pieces = spark.sql(f"select road_id, road_class, {ends}, piece, of, ga, gb from {made(searched)}", segments=segments)
     asked = spark.sql(f"select location_id, px, py, pz, most, ga, gb from {_around('{bounds}')}", bounds=bounds)
-    pairs = meet.could_be_nearest(asked, pieces, ["ga", "gb"], ["location_id", "px", "py", "pz", "road_id", "road_class", *ends.split(", ")])
+    pairs = meet.could_be_nearest(asked, pieces, ["ga", "gb"], ["location_id", "px", "py", "pz", "road_id", "road_class", *ends.split(", ")], sum(asking.values()) <= FEW)
     best = f"(select location_id, min(struct(distance_m, road_id is null as last, road_id, road_class, {ends}, px, py, pz)) as w from {sphere.steps_sql('{pairs}', sphere.STEPS)} group by location_id)"
     won = sphere.steps_sql(f"(select location_id, w.* except (distance_m, last) from {best})", sphere.STEPS + sphere.CLOSEST)
     far = f"case when distance_m > {LAST_RADIUS_M} then raise_error('a location without a segment within {LAST_RADIUS_M} m') else {_radius(first_radius_m)} end as radius_m"
@@ -216,4 +219,4 @@ def _asked(locations: DataFrame, segments: DataFrame, radius_m: float) -> tuple[
 
 
 def unresolved(locations: DataFrame, hits: DataFrame) -> DataFrame:
-    return locations.join(hits.select("location_id"), "location_id", "left_anti")
+    return locations.join(hits.select("location_id").hint("merge"), "location_id", "left_anti")

@@ -13,7 +13,7 @@ def difference(a: DataFrame, b: DataFrame, tolerance_m: float) -> DataFrame:
     error when the rows are read.
     """
     x, y = (single(d, "location_id", ["road_id", "distance_m"]).withColumnsRenamed({"road_id": f"road_{k}", "distance_m": f"distance_{k}"}) for d, k in ((a, "a"), (b, "b")))
-    out = x.join(y, "location_id").withColumn("delta_m", F.abs(F.col("distance_a") - F.col("distance_b")))
+    out = x.join(y.hint("merge"), "location_id").withColumn("delta_m", F.abs(F.col("distance_a") - F.col("distance_b")))
     return out.withColumn("same_road", F.col("road_a").eqNullSafe(F.col("road_b"))).withColumn("failed", F.col("delta_m").isNull() | F.isnan("delta_m") | (F.col("delta_m") > tolerance_m))
 
 
