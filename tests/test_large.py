@@ -31,3 +31,27 @@ def planned(monkeypatch):
 def test_lists_are_not_broadcast(willing, planned, sf, name):
     plans = planned(QUERIES[name](willing, sf))
     assert "SortMergeJoin" in plans[-1] and not any(x in p for p in plans for x in BROADCAST)
+
+
+@pytest.mark.parametrize("name", ["cross_result_diff", "offroad_check", "closest_point", "cross_result_report", "mismatch_samples", "nearest_general_driving", "nearest_service_rural", "radius_buckets", "nearest_bucketed", "union_all_buckets"])
+def test_nearest_and_its_results_are_not_broadcast(willing, planned, monkeypatch, sf, name):
+    """Locations count as many here; on the way, bounds are joined with witnesses."""
+    monkeypatch.setattr(nearest, "FEW", 0)
+    plans = planned(QUERIES[name](willing, sf))
+    assert len(plans) > 1 and "SortMergeJoin" in plans[0]
+    large = [line for p in plans for line in p.splitlines() if any(x in line for x in BROADCAST)]
+    # What the two reports compare are joins themselves, and Spark takes a join for as large as the product of its sides.
+    assert not [x for x in large if name not in ("cross_result_report", "mismatch_samples") or "[location_id#" not in x]
+
+
+@pytest.mark.parametrize("name", ["coverage_1km"])
+def test_one_row_alone_is_broadcast(willing, planned, sf, name):
+    """Two counts meet, and nothing else goes through the driver."""
+    plans = planned(QUERIES[name](willing, sf))
+    assert "SortMergeJoin" in plans[-1] and "BroadcastHashJoin" not in plans[-1] and plans[-1].count("BroadcastNestedLoopJoin") == 1
+
+
+def test_few_locations_are_broadcast(willing, planned, sf):
+    """A hundred locations: the pieces stay where they are."""
+    plans = planned(nearest.nearest(willing.sql("select 1L as location_id, 35.0d as lon, 31.0d as lat"), QUERIES["bbox_prune"](willing, sf).selectExpr("road_id", "road_class", "34.9d as x1", "31.0d as y1", "34.91d as x2", "31.01d as y2")))
+    assert "BroadcastHashJoin" in plans[-1]

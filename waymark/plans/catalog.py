@@ -43,6 +43,11 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "segments")
 
 
+def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments to be found by their key: sorted, as Spark takes them for a few MB and would broadcast them all."""
+    return _segments(spark, sf_dir).hint("merge")
+
+
 def _round(df: DataFrame) -> DataFrame:
     return df.withColumn("distance_m", F.round("distance_m", 3))
 
@@ -260,7 +265,7 @@ def _staged_nearest_of(spark, sf_dir, tier: str | None) -> DataFrame:
 @query(f"select location_id, round(off_m,3) as off_m from {report.on_roads_sql(_nearest_sql(None), 'segments')}")
 def offroad_check(spark, sf_dir):
     text = f"select location_id, round(off_m,3) as off_m from {report.on_roads_sql('{result}', '{segments}')}"
-    return spark.sql(text, result=_nearest_of(spark, sf_dir, None), segments=_segments(spark, sf_dir))
+    return spark.sql(text, result=_nearest_of(spark, sf_dir, None), segments=_roads(spark, sf_dir))
 
 
 COMPARED, TOLERANCE_M = ("arterial", "general_driving"), 1.0
@@ -274,13 +279,13 @@ def _compared(a: str, b: str, segments: str) -> str:
 def cross_result_report(spark, sf_dir):
     parts = [f"select * from {report.summary_sql(_compared('{' + t + '}', '{every}', '{segments}'), t, TOLERANCE_M, 'select count(*) from {locations}')}" for t in COMPARED]
     results_of = {t: _staged_nearest_of(spark, sf_dir, t) for t in COMPARED}
-    return spark.sql(" union all ".join(parts), every=_staged_nearest_of(spark, sf_dir, None), segments=_segments(spark, sf_dir), locations=_locations(spark, sf_dir), **results_of)
+    return spark.sql(" union all ".join(parts), every=_staged_nearest_of(spark, sf_dir, None), segments=_roads(spark, sf_dir), locations=_locations(spark, sf_dir), **results_of)
 
 
 @query(f"""select road_tier, location_id, road_a, road_b, round(delta_m,3) as delta_m from (select *, row_number() over (partition by road_tier order by location_id) as nth from
  ({' union all '.join(f"select '{t}' as road_tier, * from {_compared(_nearest_sql(t), _nearest_sql(None), 'segments')}" for t in COMPARED)}) u where failed) v where nth<={report.MOST_SAMPLES}""")
 def mismatch_samples(spark, sf_dir):
-    every, segments = _staged_nearest_of(spark, sf_dir, None), _segments(spark, sf_dir)
+    every, segments = _staged_nearest_of(spark, sf_dir, None), _roads(spark, sf_dir)
     found = None
     for t in COMPARED:
         rows = spark.sql(f"select * from {_compared('{a}', '{b}', '{segments}')}", a=_staged_nearest_of(spark, sf_dir, t), b=every, segments=segments)
