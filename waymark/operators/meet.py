@@ -16,9 +16,11 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import sphere
+from waymark.sources import staging
 
 #: Rows of a list at most; pairs that are held at once.
 BLOCK_ROWS, PAIRS_AT_ONCE = 512, 1 << 18
@@ -113,8 +115,11 @@ def _runs(batch: pa.RecordBatch, nearest: bool = False) -> Iterator[tuple]:
     p, s = _numbers(places, ["px", "py", "pz"]), Pieces(pieces)
     pe, se = np.cumsum(pl), np.cumsum(sl)
     dense = nearest & (np.minimum(pl, sl) >= DENSE)
+    most = _numbers(places, ["most"])[0] if "most" in places.schema.names else np.full(places.num_rows, 2.0)
     for b in np.flatnonzero(dense):
-        yield places, pieces, p, s, *_dense(p, s, pe[b] - pl[b], pe[b], se[b] - sl[b], se[b])
+        i, k = _dense(p, s, pe[b] - pl[b], pe[b], se[b] - sl[b], se[b], most)
+        if len(i):
+            yield places, pieces, p, s, i, k
     many, start = np.repeat(np.where(dense, 0, sl), pl).astype(np.int64), np.repeat(se - sl, pl).astype(np.int64)
     ends = np.cumsum(many)
     at = 0
@@ -129,11 +134,11 @@ def _runs(batch: pa.RecordBatch, nearest: bool = False) -> Iterator[tuple]:
         at = to
 
 
-def _dense(p: np.ndarray, s: Pieces, p0: int, p1: int, s0: int, s1: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense(p: np.ndarray, s: Pieces, p0: int, p1: int, s0: int, s1: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of two long lists without those whose piece is surely farther than another's middle, by one matrix product;
     chords from it are rounded by some 1e-8."""
     dot = p[:, p0:p1].T @ s.middle[:, s0:s1]
-    bound = np.sqrt(np.maximum(0, 2 - 2 * dot.max(1))) + 1e-7
+    bound = np.minimum(np.sqrt(np.maximum(0, 2 - 2 * dot.max(1))), most[p0:p1]) + 1e-7
     i, k = np.nonzero(dot >= 1 - (bound[:, None] + s.half[s0:s1]) ** 2 / 2 - 1e-14)
     return i + p0, k + s0
 
@@ -269,3 +274,73 @@ def covered(places: DataFrame, pieces: DataFrame, keys: list[str], radius_m: flo
     """Columns of places within the radius of a piece that they meet, once for each pair of lists at most."""
     schema = T.StructType(_fields(places, pieces, names, set()))
     return _met(places, pieces, keys, lambda batches: _covered(batches, radius_m, names), schema)
+
+
+#: Lists of neighbours: all of a list lies within `reach` of (bx, by, bz); (wx, wy, wz) is a point of one of its segments.
+_BALL = ("bx", "by", "bz", "wx", "wy", "wz", "reach")
+#: Bits of a whole number, each moved to three times its place.
+_SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
+def _balls(batches: Batches, of_pieces: bool) -> Batches:
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        s = Pieces(batch) if of_pieces else None
+        at, half = (s.middle, s.half) if s else (_numbers(batch, ["px", "py", "pz"]), np.zeros(n))
+        begins = np.arange(0, n, BLOCK_ROWS)
+        many = np.diff(begins, append=n)
+        centre = np.add.reduceat(at, begins, axis=1) / many
+        away = np.sqrt(((at - np.repeat(centre, many, axis=1)) ** 2).sum(0))
+        middle = [b + int(away[b : b + m].argmin()) for b, m in zip(begins, many, strict=True)]
+        reach = np.maximum.reduceat(away + half, begins)
+        rows = pa.StructArray.from_arrays(batch.columns, batch.schema.names)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, n).astype(np.int32)), rows)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (*centre, *at[:, middle], reach)), lists], [*_BALL, "rows"])
+
+
+def in_balls(rows: DataFrame, at: dict[str, str], of_pieces: bool) -> DataFrame:
+    """id, what _BALL names and rows, staged: lists of neighbours, by the places x, y, z in the unit ball that `at` gives."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    steps = [{c: f"cast(floor(({v} + 1e0) * 1048575e0) as bigint)" for c, v in at.items()}]
+    steps += [{c: f"({c} | shiftleft({c}, {k})) & {mask}L" for c in at} for k, mask in _SPREAD]
+    key, (x, y, z) = "__key", at
+    ordered = sphere.with_steps(rows, [*steps, {key: f"{x} | shiftleft({y}, 1) | shiftleft({z}, 2)"}]).drop(*at)
+    item = T.StructType([f for f in rows.schema.fields])
+    schema = T.StructType([*(T.StructField(c, T.DoubleType()) for c in _BALL), T.StructField("rows", T.ArrayType(item))])
+    lists = ordered.repartitionByRange(key).sortWithinPartitions(key).drop(key).mapInArrow(lambda batches: _balls(batches, of_pieces), schema)
+    return staging.staged(lists.withColumn("id", F.monotonically_increasing_id()), "neighbours")
+
+
+def _with_most(batches: Batches) -> Batches:
+    for batch in batches:
+        (places, pieces), (pl, sl) = ([batch.column(c).flatten() for c in ("places", "pieces")], [batch.column(c).value_lengths().to_numpy() for c in ("places", "pieces")])
+        if not len(places):
+            continue
+        p, s = _numbers(pa.RecordBatch.from_struct_array(places), ["px", "py", "pz"]), Pieces(pa.RecordBatch.from_struct_array(pieces))
+        pe, se = np.cumsum(pl), np.cumsum(sl)
+        most = np.concatenate([np.sqrt(np.maximum(0, 2 - 2 * (p[:, b - m : b].T @ s.middle[:, e - k : e]).max(1))) + 1e-7 for b, m, e, k in zip(pe, pl, se, sl, strict=True)])
+        names = [f.name for f in places.type]
+        rows = pa.StructArray.from_arrays([*places.flatten(), pa.array(most)], [*names, "most"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, pe).astype(np.int32)), rows)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BALL), pa.array(np.maximum.reduceat(most, pe - pl)), lists], [*_BALL, "most", "rows"])
+
+
+def could_be_nearest_of_all(places: DataFrame, pieces: DataFrame, names: list[str], tasks: int) -> DataFrame:
+    """As could_be_nearest, with every list of places held against every list of pieces: by the balls that they lie in, and by their
+    rows unless all pieces of the one are surely farther from all places of the other than what each has in a list nearby."""
+    spark = places.sparkSession
+    p = in_balls(places, {f"__{c}": f"p{c}" for c in "xyz"}, False)
+    s = in_balls(pieces, {f"__{c}": f"(a{c} + e{c}) / 2e0" for c in "xyz"}, True)
+    gap = lambda of: " + ".join(f"(p.b{c} - s.{of}{c}) * (p.b{c} - s.{of}{c})" for c in "xyz")
+    closest = f"(select /*+ shuffle_replicate_nl(p, s) */ p.id as id, min_by(s.id, {gap('w')}) as other from {{p}} as p cross join {{s}} as s group by p.id)"
+    balls = ", ".join(f"p.{c}" for c in _BALL)
+    met = spark.sql(f"select /*+ merge(p, n, s) */ {balls}, p.rows as places, s.rows as pieces from {{p}} as p join {closest} as n on p.id = n.id join {{s}} as s on n.other = s.id", p=p, s=s)
+    item = T.StructType([*p.schema["rows"].dataType.elementType.fields, T.StructField("most", T.DoubleType())])
+    schema = T.StructType([*(p.schema[c] for c in _BALL), T.StructField("most", T.DoubleType()), T.StructField("rows", T.ArrayType(item))])
+    # Few bytes make many pairs: lists are dealt over all cores.
+    bounded = met.mapInArrow(_with_most, schema).repartition(tasks)
+    both = f"select /*+ shuffle_replicate_nl(p, s) */ p.rows as places, s.rows as pieces from {{p}} as p join {{s}} as s on {gap('b')} <= pow(p.reach + s.reach + p.most + 1e-9, 2)"
+    schema = T.StructType(_fields(places, pieces, names, set()))
+    return spark.sql(both, p=bounded, s=s).mapInArrow(lambda batches: _could_be_nearest(batches, names), schema)

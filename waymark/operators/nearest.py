@@ -169,22 +169,21 @@ def nearest(locations: DataFrame, segments: DataFrame, first_radius_m: float = F
 
 
 def exhaustive(locations: DataFrame, segments: DataFrame) -> DataFrame:
-    """The nearest segment by all pairs, without cells: every pair is held against a bound, and the distances of those that could
-    be nearest decide. As in SQL, a pair without all coordinates counts as half a meridian apart."""
+    """The nearest segment by all pairs, without cells: every pair is held against a bound, alone or with all pairs of two lists, and
+    the distances of those that could be nearest decide. As in SQL, a pair without all coordinates counts as half a meridian apart."""
     segments = segments.select("road_id", "road_class", "x1", "y1", "x2", "y2")
     places, lines = with_units(locations.select("location_id", "lon", "lat"), segments)
     ends = [f"{p}{c}" for p in "ae" for c in "xyz"]
     sound = lambda *columns: F.expr(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
     lines, odd = lines.select("road_id", "road_class", *ends), places.where(~sound("px", "pz"))
     whole = lines.where(sound(*ends)).withColumns({"piece": F.lit(0), "of": F.lit(1)})
-    # Few bytes make many pairs: lists are dealt over all cores.
     tasks = max(2 * places.sparkSession.sparkContext.defaultParallelism, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = ["location_id", "px", "py", "pz", "road_id", "road_class", *ends]
-    pairs = meet.could_be_nearest(places.where(sound("px", "pz")).repartition(tasks).select(*names[:4]), whole, [], names)
+    pairs = meet.could_be_nearest_of_all(places.where(sound("px", "pz")).select(*names[:4]), whole, names, tasks)
     # Segments without coordinates are all as far away: the first by road_id stands for them.
     last = lines.where(~sound(*ends)).agg(F.min(F.struct(F.col("road_id").isNull().alias("last"), *lines.columns)).alias("w")).where("w is not null").select("w.*")
     for some, others in ((odd, lines), (places, last)):
-        pairs = pairs.unionByName(some.crossJoin(others).select(*names))
+        pairs = pairs.unionByName(some.crossJoin(others.hint("shuffle_replicate_nl")).select(*names))
     pairs = measured(pairs)
     order = F.struct("distance_m", F.col("road_id").isNull().alias("last"), "road_id", "road_class", "near_lon", "near_lat")
     return pairs.groupBy("location_id").agg(F.min(order).alias("w")).select("location_id", "w.*").select(*KEPT)
